@@ -114,9 +114,12 @@ def satellite_rows(
     )
     for name, columns in satellites.items():
         flagged = flagged.withColumn(f"hash_{name}", hash_diff(columns))
+    for name in satellites:
+        changed = F.col("appears") | (F.col(f"hash_{name}") != F.lag(f"hash_{name}").over(by_key))
+        flagged = flagged.withColumn(f"changed_{name}", changed)
     parts = [
         F.when(
-            F.col("appears") | (F.col(f"hash_{name}") != F.lag(f"hash_{name}").over(by_key)),
+            F.col(f"changed_{name}"),
             F.struct(
                 F.lit(name).alias("satellite"),
                 F.col(date).alias("load_date"),
