@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations
+from . import conversations, cooccurrence
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,8 +39,53 @@ good AS (
   WHERE session NOT IN (SELECT session FROM m WHERE "type" = 'subagent/descriptor'))
 """
 
-QUERIES = {"p5_found": p5_found}
+def _item_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tags = table(spark, sf_dir, "tags").select(
+        F.lit("tag").alias("kind"), F.col("memory_id").alias("record"), F.col("tag").alias("value"))
+    entities = table(spark, sf_dir, "entities").select(
+        F.lit("entity").alias("kind"), F.col("memory_id").alias("record"), F.col("entity").alias("value"))
+    return cooccurrence.pair_counts([tags, entities])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = _item_pairs(spark, sf_dir).where(F.col("n_ab") * F.col("n") >= 3 * F.col("n_a") * F.col("n_b"))
+    return pairs.select(F.col("kind").alias("item_kind"), "item_a", "item_b")
+
+
+def p4_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the wanted support with counts and lift."""
+    return _item_pairs(spark, sf_dir).select(
+        F.col("kind").alias("item_kind"), "item_a", "item_b", "n_ab", "n_a", "n_b", F.round("lift", 4).alias("lift"))
+
+
+#: Full-width forms that occur in items, for SQL, which has no NFKC.
+_WIDE = "".join(chr(0xFEE0 + c) for c in range(0x21, 0x7F)) + "\u3000"
+_NARROW = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''") + " "
+_P4 = f"""
+WITH v AS (
+  SELECT 'tag' AS item_kind, memory_id, tag AS x FROM tags UNION ALL SELECT 'entity', memory_id, entity FROM entities),
+i AS (
+  SELECT DISTINCT item_kind, memory_id, lower(trim(ltrim(trim(translate(x, '{_WIDE}', '{_NARROW}'), e' \\t\\n\\r'), '#'), e' \\t\\n\\r')) AS item
+  FROM v WHERE x IS NOT NULL AND memory_id IS NOT NULL),
+g AS (
+  SELECT * FROM i WHERE item NOT IN ('', 'null', 'undefined', 'none', 'nan') AND NOT regexp_full_match(item, '[+-]?[0-9]+([.,][0-9]+)*')),
+n AS (SELECT item_kind, count(DISTINCT memory_id) AS n FROM g GROUP BY 1),
+c AS (SELECT item_kind, item, count(*) AS c FROM g GROUP BY 1, 2),
+p AS (
+  SELECT a.item_kind, a.item AS item_a, b.item AS item_b, count(*) AS n_ab
+  FROM g a JOIN g b ON a.item_kind = b.item_kind AND a.memory_id = b.memory_id AND a.item < b.item GROUP BY 1, 2, 3),
+s AS (
+  SELECT p.*, ca.c AS n_a, cb.c AS n_b, n.n FROM p JOIN n USING (item_kind)
+  JOIN c ca ON ca.item_kind = p.item_kind AND ca.item = item_a JOIN c cb ON cb.item_kind = p.item_kind AND cb.item = item_b
+  WHERE n_ab >= 5 AND 2000 * n_ab >= n.n)
+"""
+
+QUERIES = {"p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found}
 SQL = {
+    "p4_found": _P4 + "SELECT item_kind, item_a, item_b FROM s WHERE n_ab * n >= 3 * n_a * n_b",
+    "p4_lift": _P4 + """
+SELECT item_kind, item_a, item_b, n_ab, n_a, n_b, round(CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b), 4) AS lift FROM s
+""",
     "p5_found": _P5 + """
 SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY turn, is_user DESC, step) AS INTEGER) AS pos, msg_id
 FROM good WHERE has_text
