@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, cooccurrence
+from . import conversations, cooccurrence, leaks, quantiles, tokenise
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,54 @@ s AS (
   WHERE n_ab >= 5 AND 2000 * n_ab >= n.n)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found}
+QUANTILES = [0.5, 0.9, 0.95, 0.99]
+EPS = 0.01
+
+
+def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles per project and metric with their bounds on the rank error."""
+    return quantiles.project_percentiles(table(spark, sf_dir, "capturerecord"), QUANTILES, EPS)
+
+
+def p2_bounds_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each project and metric: n, and how many percentiles have a true rank within EPS * n of the wanted one."""
+    raw = table(spark, sf_dir, "capturerecord")
+    found = quantiles.project_percentiles(raw, QUANTILES, EPS)
+    values = quantiles.measurements(raw)
+    same = F.col("v.project").eqNullSafe(F.col("f.project")) & (F.col("v.metric") == F.col("f.metric"))
+    ranks = (
+        values.alias("v").join(found.alias("f"), same)
+        .groupBy(F.col("f.project").alias("project"), F.col("f.metric").alias("metric"), "q", "n")
+        .agg(F.count(F.when(F.col("v.value") < F.col("f.value"), 1)).alias("below"),
+             F.count(F.when(F.col("v.value") <= F.col("f.value"), 1)).alias("upto"))
+    )
+    target, slack = F.ceil(F.col("q") * F.col("n")), F.lit(EPS) * F.col("n") + 1
+    held = (F.col("below") + 1 <= target + slack) & (F.col("upto") >= target - slack)
+    return ranks.groupBy("project", "metric", "n").agg(F.count(F.when(held, 1)).alias("held"))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
+
+
+QUERIES = {
+    "p2_percentiles": p2_percentiles, "p2_bounds_hold": p2_bounds_hold,
+    "p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found, "p7_ids": p7_ids,
+    "p8_found": p8_found,
+}
 SQL = {
+    "p2_bounds_hold": """
+WITH r AS (
+  SELECT nullif(lower(trim(project)), '') AS project, enrichMs, episodeMs FROM capturerecord
+  QUALIFY row_number() OVER (PARTITION BY session, turn ORDER BY logged_at DESC) = 1),
+v AS (
+  SELECT project, 'enrichMs' AS metric, enrichMs AS x FROM r UNION ALL SELECT project, 'episodeMs', CAST(episodeMs AS DOUBLE) FROM r)
+SELECT project, metric, count(*) AS n, CAST(4 AS BIGINT) AS held FROM v WHERE x IS NOT NULL AND NOT isnan(x) AND x >= 0 GROUP BY 1, 2
+""",
     "p4_found": _P4 + "SELECT item_kind, item_a, item_b FROM s WHERE n_ab * n >= 3 * n_a * n_b",
     "p4_lift": _P4 + """
 SELECT item_kind, item_a, item_b, n_ab, n_a, n_b, round(CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b), 4) AS lift FROM s
