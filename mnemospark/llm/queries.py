@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, cooccurrence, leaks, quantiles, tokenise
+from . import conversations, cooccurrence, leaks, quantiles, restatements, tokenise
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,13 +110,18 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenise.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "memories").select("id", "asserted_at", "content")
+    return restatements.ordered_pairs(restatements.restatements(entries))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
 
 
 QUERIES = {
     "p2_percentiles": p2_percentiles, "p2_bounds_hold": p2_bounds_hold,
-    "p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found, "p7_ids": p7_ids,
+    "p3_found": p3_found, "p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found, "p7_ids": p7_ids,
     "p8_found": p8_found,
 }
 SQL = {
