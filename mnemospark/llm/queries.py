@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, cooccurrence, leaks, quantiles, restatements, tokenise
+from . import conversations, cooccurrence, leaks, personal, quantiles, restatements, tokenise
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,13 +115,33 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restatements.ordered_pairs(restatements.restatements(entries))
 
 
+def _free_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    memories = table(spark, sf_dir, "memories").select(
+        F.lit("memories").alias("src"), F.col("id").alias("row_id"), F.col("content").alias("text"))
+    regression = table(spark, sf_dir, "regression").select(
+        F.lit("regression").alias("src"), F.col("id").alias("row_id"), "text")
+    return memories.unionByName(regression)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.items(_free_texts(spark, sf_dir), table(spark, sf_dir, "name_lexicon"))
+    return found.select("src", "row_id", "pii_type", "start_at").distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts with typed placeholders; repeated rows once."""
+    texts = _free_texts(spark, sf_dir).distinct()
+    return personal.redact(texts, personal.items(texts, table(spark, sf_dir, "name_lexicon")))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
 
 
 QUERIES = {
     "p2_percentiles": p2_percentiles, "p2_bounds_hold": p2_bounds_hold,
-    "p3_found": p3_found, "p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found, "p7_ids": p7_ids,
+    "p3_found": p3_found, "p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found, "p6_found": p6_found,
+    "p6_redacted": p6_redacted, "p7_ids": p7_ids,
     "p8_found": p8_found,
 }
 SQL = {
