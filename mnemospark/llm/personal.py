@@ -74,7 +74,7 @@ _ADDRESS = re.compile(
     rf"|[{HAN}]{{2}}市[{HAN}]{{1,5}}?(?:大道|路|街|巷|道|弄)\d+号(?:\d+(?:号楼|单元|室|栋|楼))*"
 )
 _TITLES = {"dr", "mr", "mrs", "ms", "mx", "prof", "herr", "frau", "sir", "miss"}
-_CAP = r"[A-ZÀ-Þ](?:[a-zß-ÿ]+|['’][A-Z][a-z]+|[A-ZÀ-Þ]+)(?:-[A-ZÀ-Þ](?:[a-zß-ÿ]+|[A-ZÀ-Þ]+))*"
+_CAP = r"[A-ZÀ-Þ](?:[a-zß-ÿ]+|['’][A-Z](?:[a-z]+|[A-Z]+)|[A-ZÀ-Þ]+)(?:-[A-ZÀ-Þ](?:[a-zß-ÿ]+|[A-ZÀ-Þ]+))*"
 _RUN = re.compile(rf"{_NO_WORD}(?<![@./#-]){_CAP}|{_NO_WORD}(?<![@./#-])[A-Z]\.(?= )")
 _END = re.compile(r"[A-Za-z0-9_À-ɏ@/]")
 _WORDS_LEFT = re.compile(r"([A-Za-zÀ-ɏ]+)\W{0,2}$")
@@ -270,7 +270,7 @@ def han_names(texts: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """Names of two or three Chinese characters in the taken patterns, whatever their family."""
     forms = []
     for left, right in patterns:
-        before = rf"(?<![{HAN}])" if left == "^" else f"(?<={left})" if len(left) == 2 else rf"(?<![{HAN}])(?<={left})"
+        before = rf"(?<![{HAN}])" if left == "^" else f"(?<={left})" if len(left) == 2 else rf"(?<=(?<![{HAN}]){left})"
         after = rf"(?![{HAN}])" if right == "^" else f"(?={right})" if len(right) == 2 else rf"(?={right}(?![{HAN}]))"
         forms.append(f"{before}[{HAN}]{{2,3}}{after}")
 
