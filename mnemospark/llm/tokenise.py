@@ -89,7 +89,7 @@ def encode_short(path: str, size: int):
                 [t for part in fragments(text, path, size) for t in own.encode_ordinary(part)]
                 for text in batch["text"]
             ]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": ids})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "ids": pd.Series(ids, index=batch.index, dtype=object)})
 
     return run
 
