@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import conversations, cooccurrence, leaks, personal, quantiles, restatements, tokenise
+from . import conversations, cooccurrence, leaks, personal, quantiles, reading, restatements, tokenise
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,11 +138,25 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
+    return levels.select("doc_id", "band")
+
+
+def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source and band: documents, mean share of unfamiliar words, mean sentence length."""
+    documents = table(spark, sf_dir, "documents")
+    levels = reading.reading_levels(documents, table(spark, sf_dir, "reading_labels"))
+    return levels.join(documents.select("doc_id", "source"), "doc_id").groupBy("source", "band").agg(
+        F.count("*").alias("n"), F.round(F.avg("unfamiliar"), 4).alias("unfamiliar"),
+        F.round(F.avg("sentence_words"), 2).alias("sentence_words"))
+
+
 QUERIES = {
     "p2_percentiles": p2_percentiles, "p2_bounds_hold": p2_bounds_hold,
     "p3_found": p3_found, "p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found, "p6_found": p6_found,
     "p6_redacted": p6_redacted, "p7_ids": p7_ids,
-    "p8_found": p8_found,
+    "p8_found": p8_found, "p9_found": p9_found, "p9_profile": p9_profile,
 }
 SQL = {
     "p2_bounds_hold": """
