@@ -34,7 +34,7 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def two_hop(edges: DataFrame) -> DataFrame:
     """(id, far): distinct nodes two edges away, without the node itself and its neighbours."""
-    second = edges.withColumnsRenamed({"from_id": "to_id", "to_id": "far"})
+    second = edges.select(F.col("from_id").alias("to_id"), F.col("to_id").alias("far"))
     far = edges.join(second, "to_id").where(F.col("from_id") != F.col("far")).select(F.col("from_id").alias("id"), "far").distinct()
     return far.join(edges.select(F.col("from_id").alias("id"), F.col("to_id").alias("far")), ["id", "far"], "left_anti")
 
