@@ -192,38 +192,37 @@ def candidates(seed_families: set[str]):
 def score_tokens(names: DataFrame, lexicon: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, score): how sure a token is a given (g:) or family (f:) name.
 
-    A context's score is the mean over its spans of the surer token; a given
-    name's is the mean score of the contexts left of it, a family name's that of
-    the better of both sides. A context without words (^) says nothing. Means
-    are smoothed, so that single finds count little.
+    A context's score is the mean over its spans of the surer token. A given
+    name's is the mean over the contexts left of it, a family name's the better
+    of the means over the contexts of either side. A context without words (^)
+    says nothing, one with fewer than three families counts 0. Means are
+    smoothed, so that single finds count little. Who stands where is aggregated
+    once; a round only joins scores to it.
     """
-    edges = cut(
-        names.select(F.concat(F.lit("g:"), "given").alias("g"), F.concat(F.lit("f:"), "family").alias("f"), "l", "r")
-        .groupBy("g", "f", "l", "r").agg(F.count("*").alias("n"))
+    edges = (
+        names.select(F.concat(F.lit("g:"), "given").alias("g"), F.concat(F.lit("f:"), "family").alias("f"),
+                     F.explode(F.array(F.concat(F.lit("l:"), "l"), F.concat(F.lit("r:"), "r"))).alias("c"))
+        .where(~F.col("c").isin("l:^", "r:^")).groupBy("g", "f", "c").agg(F.count("*").alias("n"))
     )
+    supported = edges.groupBy("c").agg((F.count_distinct("f") >= 3).alias("supported"))
+    edges = cut(edges.join(supported, "c"))
+    nodes = F.explode(F.array_compact(F.array(F.when(F.startswith("c", F.lit("l:")), F.col("g")), F.col("f")))).alias("node")
+    places = cut(edges.select(nodes, "c", "n").groupBy("node", "c").agg(F.sum("n").alias("n")))
     seeds = lexicon.select(
-        F.concat(F.when(F.col("kind") == "given", "g:").otherwise("f:"), F.lower("name")).alias("node"),
-        F.lit(1.0).alias("score"),
-    ).distinct()
+        F.concat(F.when(F.col("kind") == "given", "g:").otherwise("f:"), F.lower("name")).alias("node"), F.lit(1.0).alias("score"))
     scores = seeds
 
     def mean(value: Column) -> Column:
         return F.sum(F.col("n") * value) / (F.sum("n") + 1)
 
+    zero = F.lit(0.0)
     for _ in range(rounds):
-        known = edges.join(scores.withColumnsRenamed({"node": "g", "score": "sg"}), "g", "left").join(
+        known = edges.where("supported").join(scores.withColumnsRenamed({"node": "g", "score": "sg"}), "g", "left").join(
             scores.withColumnsRenamed({"node": "f", "score": "sf"}), "f", "left")
-        known = known.withColumn("s", F.greatest(F.coalesce("sg", F.lit(0.0)), F.coalesce("sf", F.lit(0.0))))
-        enough = F.count_distinct("f") >= 3
-        left = known.where(F.col("l") != "^").groupBy("l").agg(F.when(enough, mean(F.col("s"))).alias("sl"))
-        right = known.where(F.col("r") != "^").groupBy("r").agg(F.when(enough, mean(F.col("s"))).alias("sr"))
-        seen = edges.join(left, "l", "left").join(right, "r", "left")
-        zero = F.lit(0.0)
-        given = seen.where(F.col("g").isNotNull() & (F.col("l") != "^")).groupBy(F.col("g").alias("node")).agg(
-            mean(F.coalesce("sl", zero)).alias("score"))
-        family = seen.where((F.col("l") != "^") | (F.col("r") != "^")).groupBy(F.col("f").alias("node")).agg(
-            mean(F.greatest(F.coalesce("sl", zero), F.coalesce("sr", zero))).alias("score"))
-        scores = cut(given.unionByName(family).unionByName(seeds).groupBy("node").agg(F.max("score").alias("score")))
+        contexts = known.groupBy("c").agg(mean(F.greatest(F.coalesce("sg", zero), F.coalesce("sf", zero))).alias("s"))
+        sides = places.join(contexts, "c", "left").groupBy("node", F.substring("c", 1, 1).alias("side")).agg(
+            mean(F.coalesce("s", zero)).alias("score"))
+        scores = cut(sides.select("node", "score").unionByName(seeds).groupBy("node").agg(F.max("score").alias("score")))
     return scores
 
 
