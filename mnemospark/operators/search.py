@@ -129,7 +129,8 @@ def abstains(hits: DataFrame, queries: DataFrame) -> DataFrame:
     ``hits`` is (query_id, text); a query without such a name never abstains.
     """
     names = queries.select(
-        "query_id", F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]{3,}|[A-Z]{2,})\b"), F.lit(1))).alias("name")).distinct()
+        "query_id", F.explode(F.filter(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1)),
+                                       lambda x: x.rlike("^([A-Z][a-z]{3,}|[A-Z]{2,})$"))).alias("name")).distinct()
     seen = names.join(hits, "query_id").groupBy("query_id").agg(
         F.bool_or(F.array_contains(text.words(F.col("text")), F.lower("name"))).alias("seen"))
     asked = names.select("query_id").distinct().withColumn("named", F.lit(True))
