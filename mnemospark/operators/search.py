@@ -22,12 +22,8 @@ RRF_K = 20
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(doc_id, term, tf, length): term counts; terms are split once per document before the explode."""
-    split = docs.select("doc_id", text.terms(F.col("text")).alias("terms"))
-    return (
-        split.select("doc_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-        .groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    )
+    """(doc_id, term, tf). Nothing else is computed beside the explode, or Spark would split the text again for each term."""
+    return docs.select("doc_id", F.explode(text.terms(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
 
 
 def query_terms(queries: DataFrame, most: int = 64) -> DataFrame:
@@ -42,7 +38,7 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     frequencies are counted; lengths come from the documents themselves.
     """
     asked = cut(query_terms(queries))
-    sizes = docs.select("doc_id", F.size(text.terms(F.col("text"))).alias("length"))
+    sizes = cut(docs.select("doc_id", F.size(text.terms(F.col("text"))).alias("length")))
     stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
     wanted = postings(docs).join(small(asked.select("term").distinct()), "term", "left_semi")
     wanted = cut(wanted)
@@ -51,7 +47,7 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     weighted = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_length")
     tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
     return (
-        wanted.join(small(weighted), "term").join(small(asked), "term")
+        wanted.join(sizes, "doc_id").join(small(weighted), "term").join(small(asked), "term")
         .groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * tf).alias("score"), F.count("*").alias("matched"))
     )
 

@@ -65,6 +65,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A scan in at least as many partitions as there are cores, for work that is heavy per row.
+
+    Only a small table has fewer; then its rows are hashed by ``key``. A large one
+    is left as it is. ``df`` must be a scan with projections and filters only.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if a count proves that it is small; else as it is."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
