@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, spread
 
 BANDS = ("basic", "intermediate", "advanced")
 #: A listed word stands in at least this share of the documents with prose.
@@ -37,11 +37,14 @@ MOST_LISTED = 500_000
 #: At most so many ratings are used to grade the list; more are sampled by hash. The corpus side has no bound.
 MOST_RATINGS = 200_000
 
+#: Control and format characters: fixed ranges of the Unicode categories Cc (but tab and line feed) and Cf.
+_INVISIBLE = re.compile("[\x00-\x08\x0b-\x1f\x7f-\x9f\xad\u0600-\u0605\u061c\u06dd\u070f\u08e2\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff\ufff9-\ufffb]")
 _FRONT = re.compile(r"(?s)\A[\s﻿]*---[ \t]*\n.*?\n---[ \t]*(?:\n|\Z)")
 _FENCE = re.compile(r"(?s)(?:```|~~~).*?(?:```|~~~|\Z)")
 _HEADING = re.compile(r"\s*#{1,6}\s")
 _MARK = re.compile(r"^\s*(?:[-*+>•]\s*|\d+[.)]\s+)+")
 _ROLE = re.compile(r"^\s*(?:user|assistant|用户|助手|nutzer|assistent|assistentin)\s*:\s*", re.I)
+_SIGNS = str.maketrans("", "", "{}()[]<>=;|$\"_/\\")
 _LOG = re.compile(r"\[?\d{4}-\d\d-\d+|\$ |at \S+ \(|(?:WARN|INFO|ERROR|DEBUG)\b")
 _STATEMENT = re.compile(r"(?:const|let|var|def|if|for|while|return|function|class)\b.*[({=].*[)};\]]\s*(?://.*)?$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|[。！？；;]+")
@@ -61,15 +64,17 @@ def is_code(line: str) -> bool:
     bare = line.strip()
     if _LOG.match(bare) or _STATEMENT.match(bare) or (bare[0] in "{[" and bare[-1] in "}]"):
         return True
-    return sum(c in "{}()[]<>=;|$\"_/\\" for c in bare) > 0.12 * len(bare)
+    return len(bare) - len(bare.translate(_SIGNS)) > 0.12 * len(bare)
 
 
 def sentences(text: str) -> list[str]:
     """The sentences of running prose and dialogue: no front matter, code, log lines or headings."""
     if "&" in text:
         text = html.unescape(text)
-    text = unicodedata.normalize("NFKC", text.replace("\r\n", "\n").replace("\r", "\n"))
-    text = "".join(c for c in text if c == "\n" or c == "\t" or unicodedata.category(c) not in ("Cf", "Cc"))
+    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
+    text = _INVISIBLE.sub("", text)
     out = []
     for line in _FENCE.sub("\n", _FRONT.sub("", text)).split("\n"):
         if not line.strip() or _HEADING.match(line):
@@ -95,8 +100,8 @@ def words_of(text: str) -> tuple[str | None, int, list[str]]:
     return ("de" if german else "en"), sum(map(len, words)), words
 
 
-def prose(text: str) -> list[tuple[list[str], list[list[str]]]]:
-    """(words, clauses' words) of each sentence in the language most of the prose is in."""
+def prose(text: str, clauses: bool = True) -> list[tuple[list[str], list[list[str]]]]:
+    """(words, clauses' words if wanted) of each sentence in the language most of the prose is in."""
     rows, sizes = [], Counter()
     for s in sentences(text):
         language, size, words = words_of(s)
@@ -107,13 +112,13 @@ def prose(text: str) -> list[tuple[list[str], list[list[str]]]]:
         return []
     main = sizes.most_common(1)[0][0]
     return [
-        (words, [c for c in (words_of(x)[2] for x in _CLAUSE.split(s)) if c]) for language, words, s in rows if language == main
+        (words, [c for c in (words_of(x)[2] for x in _CLAUSE.split(s)) if c] if clauses else []) for language, words, s in rows if language == main
     ]
 
 
 def distinct_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        words = [sorted({w for s, _ in prose(t) for w in s}) for t in b["text"]]
+        words = [sorted({w for s, _ in prose(t, False) for w in s}) for t in b["text"]]
         keep = [k for k, w in enumerate(words) if w]
         yield pd.DataFrame({"doc_id": b["doc_id"].iloc[keep], "words": pd.Series([words[k] for k in keep], index=b.index[keep], dtype=object)})
 
@@ -125,7 +130,7 @@ def graded_list(documents: DataFrame, ratings: DataFrame, share: float = LIST_SH
     rated documents, against the other bands. A document with several ratings
     counts for each. Words that no rated document holds say nothing.
     """
-    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    texts = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"), "doc_id")
     words = texts.mapInPandas(distinct_words, "doc_id long, words array<string>")
     rated = ratings.where(F.col("band").isin(*BANDS)).select("doc_id", "band").orderBy(F.xxhash64("doc_id", "band")).limit(MOST_RATINGS)
     marked = words.join(
@@ -192,5 +197,5 @@ def reading_levels(documents: DataFrame, ratings: DataFrame) -> DataFrame:
     if len(rows) > MOST_LISTED:
         raise ValueError(f"the list has more than {MOST_LISTED} words; raise LIST_SHARE")
     grades = {r["word"]: (r["g0"], r["g1"], r["g2"]) for r in rows}
-    texts = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    texts = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"), "doc_id")
     return texts.mapInPandas(rater(grades), LEVELS)
