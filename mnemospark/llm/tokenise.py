@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import spread
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The tokenizer's published pre-tokenizer pattern; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -105,7 +107,7 @@ def encode_corpus(
     """
     rows = documents.select("doc_id", "text")
     long = F.coalesce(F.length("text") > long_chars, F.lit(False))
-    whole = rows.where(~long).mapInPandas(encode_short(path, size), "doc_id long, ids array<int>")
+    whole = spread(rows.where(~long), "doc_id").mapInPandas(encode_short(path, size), "doc_id long, ids array<int>")
     cut_up = F.pandas_udf(lambda s: s.map(lambda t: fragments(t, path, size)), T.ArrayType(T.StringType()))
     parts = (
         rows.where(long)
