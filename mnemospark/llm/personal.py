@@ -302,7 +302,7 @@ def items(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     id hold nothing; repeated rows count once. An empty table or lexicon gives
     what the certain forms find.
     """
-    texts = texts.where(F.col("row_id").isNotNull() & F.col("text").isNotNull()).distinct()
+    texts = texts.where(F.col("row_id").isNotNull() & F.col("text").isNotNull()).select("src", "row_id", "text").distinct()
     lexicon = lexicon.where(F.col("name").isNotNull())
     han_seeds = lexicon.where((F.col("kind") == "family") & F.col("name").rlike(f"^[{HAN}]$")).select(F.col("name").alias("family")).distinct()
     families = {r[0] for r in han_seeds.limit(5_000).collect()}  # single characters: a fixed, small set

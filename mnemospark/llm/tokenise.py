@@ -103,11 +103,12 @@ def encode_corpus(
 
     Texts of more than ``long_chars`` characters are cut into fragments that are
     encoded in different tasks and put together again by position; a row number
-    keeps repeated doc_ids apart.
+    keeps repeated doc_ids apart. A row without doc_id keeps its null; ids go
+    through pandas as text, which has room for both.
     """
-    rows = documents.select("doc_id", "text")
+    rows = documents.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     long = F.coalesce(F.length("text") > long_chars, F.lit(False))
-    whole = spread(rows.where(~long), "doc_id").mapInPandas(encode_short(path, size), "doc_id long, ids array<int>")
+    whole = spread(rows.where(~long), "doc_id").mapInPandas(encode_short(path, size), "doc_id string, ids array<int>")
     cut_up = F.pandas_udf(lambda s: s.map(lambda t: fragments(t, path, size)), T.ArrayType(T.StringType()))
     parts = (
         rows.where(long)
@@ -124,4 +125,4 @@ def encode_corpus(
         .agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("p"))
         .select("doc_id", F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids"))
     )
-    return whole.unionByName(joined)
+    return whole.unionByName(joined).select(F.col("doc_id").cast("long").alias("doc_id"), "ids")

@@ -58,10 +58,10 @@ def test_fragments_concatenate_to_the_whole_encoding(spark):
             parts = tokenise.fragments(text, size=size)
             assert "".join(parts) == text
             assert [t for p in parts for t in own.encode_ordinary(p)] == own.encode_ordinary(text)
-    rows = [(1, "Hello world"), (2, ""), (3, None), (4, "long text " * 50), (4, "<|endoftext|>")]
+    rows = [(1, "Hello world"), (2, ""), (3, None), (4, "long text " * 50), (4, "<|endoftext|>"), (None, "no id"), (2**60 + 1, "big id")]
     df = spark.createDataFrame([(*r, [0]) for r in rows], "doc_id long, text string, ids array<int>")
-    got = sorted((r.doc_id, r.ids) for r in tokenise.encode_corpus(df, size=32, long_chars=100).collect())
-    assert got == sorted((i, [] if not t else own.encode_ordinary(t)) for i, t in rows)
+    got = sorted((r.doc_id or 0, r.ids) for r in tokenise.encode_corpus(df, size=32, long_chars=100).collect())
+    assert got == sorted((i or 0, [] if not t else own.encode_ordinary(t)) for i, t in rows)
     assert tokenise.encode_corpus(df.limit(0)).count() == 0
 
 
@@ -89,7 +89,7 @@ def test_pairs_against_brute_force(spark):
             for b in items:
                 if a < b:
                     want[kind, a, b] = want.get((kind, a, b), 0) + 1
-    df = spark.createDataFrame([(*r, "x") for r in rows], "kind string, record string, value string, item string").select("kind", "record", "value")
+    df = spark.createDataFrame([(*r, "x") for r in rows], "kind string, record string, value string, item string")
     for heavy in (1, 3, 10_000):  # nearly no, some, and all items heavy
         got = {(r.kind, r.item_a, r.item_b): r.n_ab for r in cooccurrence.pair_counts([df], min_count=1, support_share=10**9, heavy_share=heavy).collect()}
         assert got == want
@@ -139,7 +139,7 @@ def test_reading_bands_are_learned_and_held_out(spark):
 
 def personal_items(spark, texts, names=(("Marta", "given"), ("Velquist", "family"), ("陈", "family"), ("林", "family"), ("周", "family"))):
     rows = [("t", str(k), t) for k, t in enumerate(texts)]
-    df = spark.createDataFrame(rows, "src string, row_id string, text string")
+    df = spark.createDataFrame([(*r, 1) for r in rows], "src string, row_id string, text string, start_at int")
     lex = spark.createDataFrame(list(names), "name string, kind string")
     return df, personal.items(df, lex)
 
