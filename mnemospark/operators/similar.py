@@ -14,6 +14,11 @@ from ..functions import text
 from ..session import small
 
 
+#: What a text says that revises an earlier one; fixed values.
+REVISION_MARKERS = ("改为|改成|换成|改用|不再|取消|作废|废弃|以后|今后|从现在起|从今天起|最终|而是|代替|取代|替换|新定|更正|纠正"
+                    "|instead|no longer|from now on|replace")
+
+
 def hundredth(id_: str):
     """Whether an id is divisible by 100: text ids by the number their hex digits make."""
     return F.pmod(F.conv(F.substring(id_, 2, 10), 16, 10).cast("long"), F.lit(100)) == 0
@@ -31,16 +36,21 @@ def structural_links(tags: DataFrame, entities: DataFrame, asked: DataFrame, mos
     return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most).select("id", "other", "score")
 
 
-def superseded(entries: DataFrame, asked: DataFrame, least: float = 0.5) -> DataFrame:
+def superseded(entries: DataFrame, asked: DataFrame, least: float = 0.5, marked: float | None = 0.35) -> DataFrame:
     """(id, newer, overlap): per asked entry the newer one of the same kind and project whose terms overlap most.
 
-    Ties go to the later, then to the smaller id.
+    An overlap of ``marked`` is enough if the newer text holds a revision marker;
+    None leaves that tier out. Ties go to the later, then to the smaller id.
     """
     rows = entries.where(F.col("content").isNotNull() & F.col("valid_at").isNotNull()).select(
-        "id", "kind", F.coalesce("project", F.lit("")).alias("project"), "valid_at", text.token_set(F.col("content")).alias("t"))
-    mine = rows.join(small(asked), "id", "left_semi")
-    newer = rows.select(F.col("id").alias("newer"), "kind", "project", F.col("valid_at").alias("at"), F.col("t").alias("u"))
+        "id", "kind", F.coalesce("project", F.lit("")).alias("project"), "valid_at", text.token_set(F.col("content")).alias("t"),
+        F.col("content").rlike(f"(?i){REVISION_MARKERS}").alias("revises"))
+    mine = rows.drop("revises").join(small(asked), "id", "left_semi")
+    newer = rows.select(F.col("id").alias("newer"), "kind", "project", F.col("valid_at").alias("at"), F.col("t").alias("u"), "revises")
     met = newer.join(small(mine), ["kind", "project"]).where(F.col("at") > F.col("valid_at"))
-    scored = met.select("id", "newer", "at", F.round(text.overlap(F.col("t"), F.col("u")), 6).alias("overlap")).where(F.col("overlap") >= least)
+    scored = met.select("id", "newer", "at", "revises", F.round(text.overlap(F.col("t"), F.col("u")), 6).alias("overlap"))
+    enough = F.col("overlap") >= least
+    if marked is not None:
+        enough = enough | (F.col("revises") & (F.col("overlap") >= marked))
     order = Window.partitionBy("id").orderBy(F.col("overlap").desc(), F.col("at").desc(), "newer")
-    return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") == 1).select("id", "newer", "overlap")
+    return scored.where(enough).withColumn("pos", F.row_number().over(order)).where(F.col("pos") == 1).select("id", "newer", "overlap")

@@ -25,7 +25,13 @@ def structural_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def supersession(spark: SparkSession, d: str) -> DataFrame:
-    """For each entry whose id is divisible by 100 the newer one that overlaps most."""
+    """For each entry whose id is divisible by 100 the newer one that overlaps most, by half or more: the first tier only."""
+    rows = _visible(spark, d)
+    return similar.superseded(rows, rows.where(similar.hundredth("id")).select("id"), marked=None)
+
+
+def supersession_two_tier(spark: SparkSession, d: str) -> DataFrame:
+    """The whole of supersession: a newer text with a revision marker needs an overlap of 0.35 only."""
     rows = _visible(spark, d)
     return similar.superseded(rows, rows.where(similar.hundredth("id")).select("id"))
 
@@ -71,6 +77,13 @@ SQL = {
           ELSE round(len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)), 6) END AS overlap
         FROM r a JOIN r b ON a.kind = b.kind AND a.project = b.project AND b.valid_at > a.valid_at WHERE a.id IN (SELECT id FROM visible WHERE {_HUNDREDTH}))
       SELECT id, newer, overlap FROM m WHERE overlap >= 0.5 QUALIFY row_number() OVER (PARTITION BY id ORDER BY overlap DESC, ts DESC, newer) = 1""",
+    "supersession_two_tier": WITH + f""", r AS (SELECT id, kind, coalesce(project, '') AS project, valid_at, list_distinct({terms('content')}) AS t,
+        regexp_matches(content, '{similar.REVISION_MARKERS}', 'i') AS revises FROM visible WHERE content IS NOT NULL AND valid_at IS NOT NULL),
+      m AS (SELECT a.id, b.id AS newer, b.valid_at AS ts, b.revises, CASE WHEN least(len(a.t), len(b.t)) = 0 THEN 0.0
+          ELSE round(len(list_intersect(a.t, b.t))::DOUBLE / least(len(a.t), len(b.t)), 6) END AS overlap
+        FROM r a JOIN r b ON a.kind = b.kind AND a.project = b.project AND b.valid_at > a.valid_at WHERE a.id IN (SELECT id FROM visible WHERE {_HUNDREDTH}))
+      SELECT id, newer, overlap FROM m WHERE overlap >= 0.5 OR (revises AND overlap >= 0.35)
+      QUALIFY row_number() OVER (PARTITION BY id ORDER BY overlap DESC, ts DESC, newer) = 1""",
     "markdown_round_trip": WITH + "SELECT kind, count(*) AS n, count(*) AS same FROM entries WHERE content IS NOT NULL GROUP BY kind",
     "import_report": WITH + """, c AS (SELECT id, importance FROM visible WHERE kind <> 'rule')
       SELECT CASE WHEN coalesce(trim(e.content), '') = '' THEN 'malformed' WHEN c.id IS NULL THEN 'new' WHEN c.importance = 10 THEN 'updated' ELSE 'unchanged' END AS state, count(*) AS n
@@ -78,4 +91,5 @@ SQL = {
     "export_lines": WITH + """, l AS (SELECT '{' || array_to_string(list_filter(['"id":"' || id || '"', '"kind":"' || kind || '"', '"scope":"' || scope || '"', '"status":"' || status || '"'], lambda x: x IS NOT NULL), ',') || '}' AS v FROM visible)
       SELECT count(*) AS n, CAST(sum(length(v)) AS BIGINT) AS chars, min(v) AS first FROM l""",
 }
-QUERIES = {f.__name__: f for f in (structural_links, supersession, classifier_folds, markdown_round_trip, import_report, export_lines)}
+QUERIES = {f.__name__: f for f in (
+    structural_links, supersession, supersession_two_tier, classifier_folds, markdown_round_trip, import_report, export_lines)}
