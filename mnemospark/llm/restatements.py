@@ -11,8 +11,9 @@ are verified, and the batch's postings are appended.
 Entries that are equal after normalisation are one entry of the index with
 members. To keep a list with very many restatements of one thing linear, probing
 starts with *leader rounds*: each list's entries are compared with its earliest
-one only, and what matches leaves the list. What is left in the lists is then
-compared in full.
+one only, and what matches leaves the list. In the last step every entry meets
+those entries of its whole lists that come before the match it has; since a
+match isn't transitive, nothing leaves the side that is met.
 
 Two entries make the same statement if they have the same strong tokens
 (numbers, paths, identifiers, as a multiset), the same polarity, the same strong
@@ -238,9 +239,13 @@ def size_filter(size: Column, other: Column) -> Column:
 
 
 def probe(batch: DataFrame, index: DataFrame) -> DataFrame:
-    """(id, earlier): pairs of a batch's entries with earlier ones of the index that share a list and a like size."""
+    """(id, earlier): pairs of a batch's entries with earlier ones of the index that share a list and a like size.
+
+    If the batch has a column ``bound``, with those before it.
+    """
     e = index.select(*LIST, F.col("order").alias("order_e"), F.col("size").alias("size_e"))
-    met = batch.join(e, LIST).where((F.col("order_e") < F.col("order")) & size_filter(F.col("size"), F.col("size_e")))
+    bound = F.col("bound" if "bound" in batch.columns else "order")
+    met = batch.join(e, LIST).where((F.col("order_e") < bound) & size_filter(F.col("size"), F.col("size_e")))
     return met.select(F.col("order.id").alias("id"), F.col("order_e.id").alias("earlier")).distinct()
 
 
@@ -286,11 +291,36 @@ def earliest(edges: DataFrame, entries: DataFrame) -> DataFrame:
             return best
 
 
+def before_match(postings: DataFrame, found: DataFrame | None, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(probes with their bound, index): what may hold an earlier match than those found.
+
+    An entry's ``bound`` is its earliest match so far, else the entry itself. It
+    probes the lists that have an entry before that; a list is met up to the
+    highest bound of its probes. In a list of copies that matched its leader
+    nothing is left. What a round compared is in no need of it again: the
+    earliest entry of each list.
+    """
+    probes = postings.withColumn("bound", F.col("order"))
+    if found is not None:
+        times = entries.select(F.col("id").alias("earlier"), "asserted_at")
+        best = found.join(times, "earlier").groupBy("id").agg(F.min(F.struct("asserted_at", F.col("earlier").alias("id"))).alias("match"))
+        probes = postings.join(best, F.col("order.id") == F.col("id"), "left").select(
+            *postings.columns, F.coalesce("match", "order").alias("bound"))
+    firsts = postings.groupBy(*LIST).agg(F.min("order").alias("first"))
+    probes = cut(probes.join(firsts, LIST).where(F.col("bound") > F.col("first")))
+    ends = probes.groupBy(*LIST).agg(F.max("bound").alias("end"), F.first("first").alias("first"))
+    met = F.col("order") < F.col("end")
+    if found is not None:
+        met = met & (F.col("order") > F.col("first"))
+    return probes.drop("first"), postings.join(ends, LIST).where(met).select(*postings.columns)
+
+
 def restatements(entries: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
     """(id, root): each entry that restates an earlier one, with the earliest that makes the statement.
 
     All days at once: equal to letting day after day probe the index of all
-    entries before and append to it, since only earlier entries are met.
+    entries before and append to it, since only earlier entries are met. The
+    number of leader rounds doesn't change the result, either.
     An empty table gives an empty result.
     """
     every = cut(entry_features(entries))
@@ -306,9 +336,7 @@ def restatements(entries: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> Data
         found = new if found is None else found.unionByName(new)
         rest = lists.join(new.select("id").distinct(), F.col("order.id") == F.col("id"), "left_anti")
         lists = cut(rest.join(leaders.select(*LIST, "order"), [*LIST, "order"], "left_anti"))
-    crowded = lists.groupBy(*LIST).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*LIST)
-    lists = lists.join(crowded, LIST, "left_semi")
-    last = matches(cut(probe(lists, lists)), reps, reps)
+    last = matches(cut(probe(*before_match(postings, found, reps))), reps, reps)
     found = last if found is None else found.unionByName(last)
     roots = earliest(found, reps)
     of_members = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
