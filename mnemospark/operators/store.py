@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -122,6 +125,34 @@ def greedy_fill(items: Column, cost: str, budget: int) -> Column:
     return F.aggregate(items, start, step, lambda acc: acc["taken"])
 
 
+def greedy_stream(df: DataFrame, key: str, order: list[Column], cost: str, budget: int) -> DataFrame:
+    """(key, id, pos, cost): ``greedy_fill`` over groups of any size, with the place among the group's rows.
+
+    Each group is folded in order; rows come sorted, and only the used budget is
+    held. A row without cost doesn't fit.
+    """
+    kind = dict(df.dtypes)[key]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, used, pos = None, 0, 0
+        for b in batches:
+            keep, places = [], []
+            for k, c in zip(b[key].tolist(), b[cost].tolist()):
+                if k != current:
+                    current, used, pos = k, 0, 0
+                pos += 1
+                fits = used + c <= budget
+                if fits:
+                    used += c
+                keep.append(fits)
+                places.append(pos)
+            yield b.assign(pos=places).loc[keep, [key, "id", "pos", cost]]
+
+    rows = df.where(F.col(key).isNotNull()).repartition(key).sortWithinPartitions(key, *order)
+    return rows.select(key, "id", F.coalesce(cost, F.lit(budget + 1)).cast("long").alias(cost)).mapInPandas(
+        fold, f"{key} {kind}, id string, pos int, {cost} long")
+
+
 def prefix_fill(df: DataFrame, keys: list[str], order: list[Column], cost: str, budget: int) -> DataFrame:
     """The first rows of each group whose running cost stays within the budget; stops at the first overflow."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -11,6 +11,8 @@ from ..session import table
 from .common import ENTRIES, NOW
 
 WITH = f"WITH {ENTRIES}"
+#: Tokens of a budget.
+BUDGET = 1200
 
 
 def _entries(spark: SparkSession, d: str) -> DataFrame:
@@ -117,23 +119,21 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return store.diff(at("a"), at("b"), "memory_id", F.col("s")).groupBy("change").agg(F.count("*").alias("n"))
 
 
+def _costs(spark: SparkSession, d: str) -> DataFrame:
+    cost = text.estimated_tokens(F.col("content")) + 8
+    return _visible(spark, d).where(F.col("project").isNotNull()).select("project", "id", "importance", cost.alias("cost"))
+
+
 def budget_prefix(spark: SparkSession, d: str) -> DataFrame:
     """Per project the most important entries whose running token cost fits a budget of 1200."""
-    cost = text.estimated_tokens(F.col("content")) + 8
-    rows = _visible(spark, d).where(F.col("project").isNotNull()).select("project", "id", "importance", cost.alias("cost"))
     order = [F.coalesce("importance", F.lit(5)).desc(), F.col("id")]
-    return store.prefix_fill(store.top_per_group(rows, ["project"], order, 50), ["project"], order, "cost", 1200).select("project", "id", "used")
+    return store.prefix_fill(_costs(spark, d), ["project"], order, "cost", BUDGET).select("project", "id", "used")
 
 
 def budget_greedy(spark: SparkSession, d: str) -> DataFrame:
-    """The same with skipping: what doesn't fit is passed over, over the 50 best of each project."""
-    cost = text.estimated_tokens(F.col("content")) + 8
-    rows = _visible(spark, d).where(F.col("project").isNotNull()).select("project", "id", "importance", cost.alias("cost"))
+    """The same with skipping: what doesn't fit is passed over, over all entries of each project."""
     order = [F.coalesce("importance", F.lit(5)).desc(), F.col("id")]
-    best = store.top_per_group(rows, ["project"], order, 50)
-    arrays = best.groupBy("project").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "cost"))).alias("items"))
-    taken = arrays.select("project", F.explode(store.greedy_fill(F.col("items"), "cost", 1200)).alias("x"))
-    return taken.select("project", "x.id", "x.pos", "x.cost")
+    return store.greedy_stream(_costs(spark, d), "project", order, "cost", BUDGET).select("project", "id", "pos", "cost")
 
 
 def out_edges(spark: SparkSession, d: str) -> DataFrame:
