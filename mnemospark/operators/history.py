@@ -196,3 +196,16 @@ def memory_versions(raw: DataFrame) -> DataFrame:
         F.date_format("version_from", "yyyy-MM-dd").alias("version_from"),
         F.coalesce(F.date_format("version_to", "yyyy-MM-dd"), F.lit(OPEN_END)).alias("version_to"),
     )
+
+
+def end_states(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(memory_id, hash) at the first and at the last date of memory_snapshots; the hash is over all four attributes."""
+    rows = normalise_snapshots(raw)
+    ends = raw.agg(F.min("snap_date").alias("first"), F.max("snap_date").alias("last"))
+    attributes = [c for columns in SATELLITES.values() for c in columns]
+
+    def at(end: str) -> DataFrame:
+        day = rows.join(F.broadcast(ends.select(F.col(end).alias("snap_date"))), "snap_date")
+        return latest_per_date(day, "memory_id", "snap_date", "loaded_at", attributes).select("memory_id", hash_diff(attributes).alias("hash"))
+
+    return at("first"), at("last")

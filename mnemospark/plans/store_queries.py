@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import graph, store
+from ..operators import graph, history, store
 from ..session import table
+from . import history_queries
 from .common import ENTRIES, NOW
 
 WITH = f"WITH {ENTRIES}"
@@ -107,7 +108,7 @@ def survival_curve(spark: SparkSession, d: str) -> DataFrame:
 
 
 def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
-    """Changes between the first and the last export: a full outer join on the id."""
+    """Changes of status as it is written between the first and the last export; snapshot_changes has those of all attributes."""
     raw = table(spark, d, "memory_snapshots")
     ends = raw.agg(F.min("snap_date").alias("a"), F.max("snap_date").alias("b"))
 
@@ -119,6 +120,12 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return store.diff(at("a"), at("b"), "memory_id", F.col("s")).groupBy("change").agg(F.count("*").alias("n"))
 
 
+def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Changes between the first and the last export: a full outer join on the id, by a hash of all attributes' normal forms."""
+    old, new = history.end_states(table(spark, d, "memory_snapshots"))
+    return store.diff(old, new, "memory_id", F.col("hash")).groupBy("change").agg(F.count("*").alias("n"))
+
+
 def _costs(spark: SparkSession, d: str) -> DataFrame:
     cost = text.estimated_tokens(F.col("content")) + 8
     return _visible(spark, d).where(F.col("project").isNotNull()).select("project", "id", "importance", cost.alias("cost"))
@@ -212,6 +219,11 @@ SQL = {
       o AS (SELECT memory_id, s FROM r, e WHERE snap_date = a), n AS (SELECT memory_id, s FROM r, e WHERE snap_date = b)
       SELECT CASE WHEN o.memory_id IS NULL THEN 'added' WHEN n.memory_id IS NULL THEN 'removed' WHEN o.s <> n.s THEN 'updated' ELSE 'unchanged' END AS change,
         count(*) AS n FROM o FULL JOIN n ON o.memory_id = n.memory_id GROUP BY 1""",
+    "snapshot_changes": history_queries._NORMAL + """, o AS (SELECT * FROM latest WHERE snap_date = (SELECT min(snap_date) FROM memory_snapshots)),
+      n AS (SELECT * FROM latest WHERE snap_date = (SELECT max(snap_date) FROM memory_snapshots))
+      SELECT CASE WHEN o.memory_id IS NULL THEN 'added' WHEN n.memory_id IS NULL THEN 'removed'
+        WHEN o.st IS DISTINCT FROM n.st OR o.ex IS DISTINCT FROM n.ex OR o.va IS DISTINCT FROM n.va OR o.mf IS DISTINCT FROM n.mf THEN 'updated'
+        ELSE 'unchanged' END AS change, count(*) AS n FROM o FULL JOIN n ON o.memory_id = n.memory_id GROUP BY 1""",
     "budget_prefix": WITH + f""", r AS (SELECT project, id, importance, {COST} AS cost,
         row_number() OVER (PARTITION BY project ORDER BY coalesce(importance, 5) DESC, id) AS pos FROM visible WHERE project IS NOT NULL QUALIFY pos <= 50)
       SELECT project, id, CAST(sum(cost) OVER (PARTITION BY project ORDER BY pos) AS BIGINT) AS used FROM r QUALIFY used <= 1200""",
@@ -231,5 +243,5 @@ SQL = {
 #: budget_greedy has no SQL: a sequential choice, tested by hand-computed cases.
 QUERIES = {f.__name__: f for f in (
     structured_filter, recent_entries, as_of_slice, tag_semi_join, entity_lookup, hydrated, library_stats, digest_groups, quality_summary,
-    lineage_visible, consolidate_report, decay_view, composite_top, survival_curve, snapshot_diff, budget_prefix, budget_greedy, out_edges,
+    lineage_visible, consolidate_report, decay_view, composite_top, survival_curve, snapshot_diff, snapshot_changes, budget_prefix, budget_greedy, out_edges,
     degree_summary, dangling_edges, two_hop, version_chain)}
