@@ -4,6 +4,8 @@ import datetime as dt
 import random
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from mnemospark.llm import cooccurrence, leaks, personal, quantiles, reading, tokenise
@@ -50,21 +52,35 @@ def test_recall_of_the_keys_reaches_its_target():
 
 def test_fragments_concatenate_to_the_whole_encoding(spark):
     draw = random.Random(3)
-    words = ["don't", "'s", "日本語", "naïve", "\n\n", "   ", "e.g.", "12345", "🙂", " ", "　", "!!'re", "ﬁ", "x\ty", "Straße", "a\r\n", "中文。"]
+    words = ["don't", "'s", "日本語", "naïve", "\n\n", "   ", "e.g.", "12345", "🙂", "\u00a0", "\u3000", "!!'re", "ﬁ", "x\ty", "Straße", "a\r\n", "中文。", "\x85", "''ll", ")'s", "\u2028"]
     own = tokenise.encoder(tokenise.VOCABULARY)
     for n in (3, 40, 900):
-        text = " ".join(draw.choice(words) for _ in range(n)) + "".join(draw.choice(words) for _ in range(n))
-        for size in (1, 7, 64):
-            parts = tokenise.fragments(text, size=size)
+        for _ in range(20):
+            text = draw.choice(["", " "]).join(draw.choice(words) for _ in range(n)) + "".join(draw.choice(words) for _ in range(n))
+            parts = tokenise.fragments(text)
             assert "".join(parts) == text
             assert [t for p in parts for t in own.encode_ordinary(p)] == own.encode_ordinary(text)
     rows = [(1, "Hello world"), (2, ""), (3, None), (4, "long text " * 50), (4, "<|endoftext|>"), (None, "no id"), (2**60 + 1, "big id")]
+    rows += [(5, "x y " * 300_000)] * 2  # equal long rows stay apart
     df = spark.createDataFrame([(*r, [0]) for r in rows], "doc_id long, text string, ids array<int>")
-    got = sorted((r.doc_id or 0, r.ids) for r in tokenise.encode_corpus(df, size=32, long_chars=100).collect())
+    got = sorted((r.doc_id or 0, r.ids) for r in tokenise.encode_corpus(df).collect())
     assert got == sorted((i or 0, [] if not t else own.encode_ordinary(t)) for i, t in rows)
     assert tokenise.encode_corpus(df.limit(0)).count() == 0
 
 
+@given(st.text(alphabet=st.sampled_from("ab'sdtl .\n\u00a0\u3000é1中文🙂)-"), max_size=40))
+def test_cuts_are_certain(text):
+    own = tokenise.encoder(tokenise.VOCABULARY)
+    assert [t for p in tokenise.fragments(text) for t in own.encode_ordinary(p)] == own.encode_ordinary(text)
+
+
+def test_nearly_every_document_is_cut_into_its_words(spark):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect() if r.text and r.text.strip()]
+    own = tokenise.encoder(tokenise.VOCABULARY)
+    assert sum(len(tokenise.fragments(t)) > 1 for t in texts) >= 0.9 * len(texts)
+    assert sum(len(tokenise.fragments(t)) for t in texts) >= 0.3 * sum(len(own.encode_ordinary(t)) for t in texts)
+
+
 def test_same_ids_as_the_other_public_library():
     tokenizers = pytest.importorskip("tokenizers")
     other = tokenizers.Tokenizer.from_file("/opt/tokenizers/byte_bpe_50k.json")
