@@ -144,12 +144,15 @@ def test_reading_bands_are_learned_and_held_out(spark):
         truth[k] = band
         body = ". ".join(draw.choice(kinds[band]) for _ in range(5)) + "."
         docs.append((k, f"## Heading\n```\nconst x = load(1);\n```\n{body}\n- {draw.choice(kinds[draw.choice(list(kinds))])}"))
-    docs += [(900, None), (901, ""), (902, " \n"), (903, "const a = load(\"x\", 1);\n[2026-01-01] WARN x: waited 5 ms on y"), (904, "# Only a heading")]
+    docs += [(900, None), (901, ""), (902, " \n"), (903, "const a = load(\"x\", 1);\n[2026-01-01] WARN x: waited 5 ms on y\nSELECT id, status FROM memories WHERE reinforcement > 8;"), (904, "# Only a heading")]
     df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, band string")
     labels = spark.createDataFrame([(k, b, "r") for k, b in truth.items() if k < 120] + [(5, None, "r")], "doc_id long, band string, rater string")
     got = {r.doc_id: r.band for r in reading.reading_levels(df, labels).collect()}
     held = [k for k in truth if k >= 120]
     assert set(got) == set(truth) and sum(got[k] == truth[k] for k in held) >= 0.95 * len(held)
+    joined = {r.doc_id: r for r in reading.reading_levels(df.union(df.limit(20)), labels, most_listed=3).collect()}  # a list too long to send
+    assert {k: r.band for k, r in joined.items()} == got
+    assert {r.band for r in reading.reading_levels(df, labels.limit(0)).collect()} == {"intermediate"}
     assert reading.reading_levels(df.limit(0), labels).count() == 0
 
 
