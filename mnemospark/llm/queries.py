@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..operators.ledger import nearest_rank
+from ..session import small, table
 from . import conversations, cooccurrence, leaks, personal, quantiles, reading, restatements, tokenise
 
 
@@ -90,20 +91,23 @@ def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_bounds_hold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each project and metric: n, and how many percentiles have a true rank within EPS * n of the wanted one."""
+    """For each project, metric and q: the exact percentile, and whether the summary's value has a rank within EPS * n of its rank."""
     raw = table(spark, sf_dir, "capturerecord")
     found = quantiles.project_percentiles(raw, QUANTILES, EPS)
     values = quantiles.measurements(raw)
     same = F.col("v.project").eqNullSafe(F.col("f.project")) & (F.col("v.metric") == F.col("f.metric"))
     ranks = (
-        values.alias("v").join(found.alias("f"), same)
+        values.alias("v").join(small(found).alias("f"), same)
         .groupBy(F.col("f.project").alias("project"), F.col("f.metric").alias("metric"), "q", "n")
         .agg(F.count(F.when(F.col("v.value") < F.col("f.value"), 1)).alias("below"),
              F.count(F.when(F.col("v.value") <= F.col("f.value"), 1)).alias("upto"))
     )
     target, slack = F.ceil(F.col("q") * F.col("n")), F.lit(EPS) * F.col("n") + 1
     held = (F.col("below") + 1 <= target + slack) & (F.col("upto") >= target - slack)
-    return ranks.groupBy("project", "metric", "n").agg(F.count(F.when(held, 1)).alias("held"))
+    exact = nearest_rank(values, ["project", "metric"], "value", QUANTILES).alias("e")
+    ranks = ranks.withColumn("held", held).alias("r")
+    where = F.col("r.project").eqNullSafe(F.col("e.project")) & (F.col("r.metric") == F.col("e.metric")) & (F.col("r.q") == F.col("e.q"))
+    return ranks.join(exact, where).select("r.project", "r.metric", "r.q", "r.n", F.col("e.value").alias("exact_value"), "r.held")
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +168,12 @@ WITH r AS (
   SELECT nullif(lower(trim(project)), '') AS project, enrichMs, episodeMs FROM capturerecord
   QUALIFY row_number() OVER (PARTITION BY session, turn ORDER BY logged_at DESC) = 1),
 v AS (
-  SELECT project, 'enrichMs' AS metric, enrichMs AS x FROM r UNION ALL SELECT project, 'episodeMs', CAST(episodeMs AS DOUBLE) FROM r)
-SELECT project, metric, count(*) AS n, CAST(4 AS BIGINT) AS held FROM v WHERE x IS NOT NULL AND NOT isnan(x) AND x >= 0 GROUP BY 1, 2
+  SELECT project, 'enrichMs' AS metric, enrichMs AS x FROM r UNION ALL SELECT project, 'episodeMs', CAST(episodeMs AS DOUBLE) FROM r),
+o AS (
+  SELECT project, metric, x, row_number() OVER (PARTITION BY project, metric ORDER BY x) AS place, count(*) OVER (PARTITION BY project, metric) AS n
+  FROM v WHERE x IS NOT NULL AND NOT isnan(x) AND x >= 0)
+SELECT project, metric, q, n, x AS exact_value, true AS held
+FROM o JOIN (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE), CAST(0.95 AS DOUBLE), CAST(0.99 AS DOUBLE)]) AS q) ON place = greatest(1, ceil(q * n))
 """,
     "p4_found": _P4 + "SELECT item_kind, item_a, item_b FROM s WHERE n_ab * n >= 3 * n_a * n_b",
     "p4_lift": _P4 + """

@@ -120,8 +120,8 @@ def test_percentiles_keep_their_bound_and_combine(spark):
     rows += rows[:300] + [("z", 1, "quill", t, float("nan"), -1, t, "x"), ("z", 2, None, None, -3.0, None, t, "x"), ("z", 3, None, None, 1.0, None, t, "x")]
     df = spark.createDataFrame(rows, "session string, turn int, project string, at timestamp, enrichMs double, episodeMs long, logged_at timestamp, metric string")
     eps = 0.02
-    m = quantiles.measurements(df)
-    table = quantiles.percentile_table(quantiles.combine_days(quantiles.day_summaries(m, eps, 3), eps), ["project", "metric"], [0.01, 0.5, 0.9, 0.99])
+    rows = quantiles.latest_rows(df).repartition(3)
+    table = quantiles.percentile_table(quantiles.combine_days(quantiles.day_summaries(rows, eps), eps), ["project", "metric"], [0.01, 0.5, 0.9, 0.99])
     got = {(r.project, r.metric, r.q): r for r in table.collect()}
     order = sorted(values)
     for q in (0.01, 0.5, 0.9, 0.99):
@@ -133,6 +133,30 @@ def test_percentiles_keep_their_bound_and_combine(spark):
     assert quantiles.project_percentiles(df.limit(0), [0.5]).count() == 0
 
 
+def test_a_hot_day_is_summarised_in_every_task_and_stays_within_its_bound(spark, monkeypatch):
+    n, eps = 1_000_000, 0.01
+    value = F.pmod(F.xxhash64("id"), F.lit(10**6)).cast("double")
+    rows = spark.range(0, n, 1, 8).select(
+        F.when(F.col("id") % 1000 > 0, "hot").otherwise("cold").alias("project"), F.lit(20000).alias("day"), value.alias("enrichMs"),
+        F.when(F.col("id") % 2 == 0, value).alias("episodeMs"))
+    tasks = quantiles.task_summaries(rows, eps)
+    assert tasks.where("project = 'hot'").count() == 8 * 2  # a summary of each metric from each task
+    assert tasks.agg(F.max(F.size("vals"))).first()[0] <= 2 / eps + 2
+    days = quantiles.day_summaries(rows, eps)
+    assert days.count() == 4 and days.agg(F.max(F.size("vals"))).first()[0] <= 1 / eps + 2
+    got = {(r.project, r.metric, r.q): r for r in quantiles.percentile_table(quantiles.combine_days(days, eps), ["project", "metric"], [0.1, 0.5, 0.999]).collect()}
+    hot = rows.where("project = 'hot'")
+    for q in (0.1, 0.5, 0.999):
+        r = got["hot", "enrichMs", q]
+        below = hot.where(F.col("enrichMs") < r.value).count()
+        assert r.n == n * 999 // 1000 and r.rank_error <= eps and abs(below - q * r.n) <= eps * r.n + 2
+    assert got["cold", "enrichMs", 0.5].n == 1000
+    whole = sorted(map(str, days.orderBy("project", "metric").collect()))
+    monkeypatch.setattr(quantiles, "BUFFER", 500)  # groups are flushed one by one
+    again = quantiles.merge(quantiles.task_summaries(rows, eps), ["project", "metric", "day"], quantiles.SHARES["day"] * eps)
+    assert {(r.project, r.metric): r.n for r in again.collect()} == {(r.project, r.metric): r.n for r in days.collect()} and whole
+
+
 def test_reading_bands_are_learned_and_held_out(spark):
     draw = random.Random(9)
     kinds = {"basic": ["the door is red", "we look at the box", "you can stop the map"],
