@@ -200,11 +200,16 @@ def combine_days(days: DataFrame, eps: float) -> DataFrame:
     """(project, metric, value, r_min, r_max, n): stored day summaries as one summary per group, by month first."""
     dated = days.withColumn("month", F.unix_date(F.trunc(F.date_from_unix_date("day"), "month")))
     months = merge(dated, ["project", "metric", "month"], SHARES["month"] * eps)
-    whole = merge(months, ["project", "metric"], 0.0)
-    tuples = whole.select("project", "metric", "n", F.posexplode(F.arrays_zip("vals", "steps", "widths")).alias("pos", "x"))
-    order = Window.partitionBy("project", "metric").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return tuples(merge(months, ["project", "metric"], 0.0), ["project", "metric"])
+
+
+def tuples(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, value, r_min, r_max, n): a group's summary tuple by tuple, the steps of r_min added up."""
+    x = F.posexplode(F.arrays_zip("vals", "steps", "widths")).alias("pos", "x")
+    single = summaries.select(*keys, "n", x)
+    order = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     low = F.sum("x.steps").over(order)
-    return tuples.select("project", "metric", F.col("x.vals").alias("value"), low.alias("r_min"), (low + F.col("x.widths")).alias("r_max"), "n")
+    return single.select(*keys, F.col("x.vals").alias("value"), low.alias("r_min"), (low + F.col("x.widths")).alias("r_max"), "n")
 
 
 def percentile_table(summary: DataFrame, keys: list[str], wanted: list[float]) -> DataFrame:

@@ -85,6 +85,13 @@ QUANTILES = [0.5, 0.9, 0.95, 0.99]
 EPS = 0.01
 
 
+def p2_day_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form in which days combine: each project's, metric's and day's summary, tuple by tuple."""
+    days = quantiles.day_summaries(quantiles.latest_rows(table(spark, sf_dir, "capturerecord")), EPS)
+    keys = ["project", "metric", "day"]
+    return quantiles.tuples(days, keys).withColumn("day", F.date_from_unix_date("day"))
+
+
 def p2_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles per project and metric with their bounds on the rank error."""
     return quantiles.project_percentiles(table(spark, sf_dir, "capturerecord"), QUANTILES, EPS)
@@ -157,7 +164,7 @@ def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p2_percentiles": p2_percentiles, "p2_bounds_hold": p2_bounds_hold,
+    "p2_day_summaries": p2_day_summaries, "p2_percentiles": p2_percentiles, "p2_bounds_hold": p2_bounds_hold,
     "p3_found": p3_found, "p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found, "p6_found": p6_found,
     "p6_redacted": p6_redacted, "p7_ids": p7_ids,
     "p8_found": p8_found, "p9_found": p9_found, "p9_profile": p9_profile,
