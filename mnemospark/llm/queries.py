@@ -149,6 +149,48 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
 
 
+def p8_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with one changed, missing or added word (Chinese: character) in the passage."""
+    return leaks.leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"), max_edits=1)
+
+
+#: Normalisation of texts in SQL, which has no NFKC and no entities: full-width forms and the entities that occur.
+def _plain_sql(x: str) -> str:
+    for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{entity}', '{sign}')"
+    x = f"regexp_replace({x}, '&#(?:33|40|41|44|46|58|59|63);', ' ', 'g')"
+    x = f"regexp_replace({x}, '</?[a-zA-Z][^<>]{{0,80}}>', ' ', 'g')"
+    x = f"regexp_replace(translate({x}, '{_WIDE}', '{_NARROW}'), '[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufeff]', '', 'g')"
+    x = f"regexp_replace({x}, '(\\p{{L}})-[ \\t]*\\r?\\n[ \\t>]*(\\p{{L}})', '\\1\\2', 'g')"
+    return f"lower(regexp_replace({x}, '[*_~`''’ʼ]', '', 'g'))"
+
+
+_HAN_SQL = "[\u3400-\u9fff\uf900-\ufaff]"
+
+
+def _p8_sql() -> str:
+    words = f"regexp_extract_all(regexp_replace(x, '({_HAN_SQL})', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}]+')"
+    chars = "regexp_extract_all(x, '[\\p{L}\\p{N}]')"
+    return f"""
+WITH i AS (
+  SELECT case_id, {_plain_sql('item')} AS x
+  FROM (SELECT case_id, query AS item FROM eval_cases UNION SELECT case_id, fragment FROM eval_cases) WHERE item IS NOT NULL AND case_id IS NOT NULL),
+k AS (SELECT case_id, x, {words} AS w, len(regexp_extract_all(x, '{_HAN_SQL}')) AS han FROM i),
+ci AS (
+  SELECT case_id, CASE WHEN han > 0 AND han >= len(w) - han THEN 'c' ELSE 'w' END AS kind,
+    CASE WHEN han > 0 AND han >= len(w) - han THEN {chars} ELSE w END AS t FROM k),
+cw AS (
+  SELECT DISTINCT case_id, kind, array_to_string(t[p:p + n - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS p FROM (SELECT *, CASE kind WHEN 'c' THEN 20 ELSE 10 END AS n FROM ci))),
+d AS (SELECT doc_id, {_plain_sql('"text"')} AS x FROM documents WHERE doc_id IS NOT NULL AND "text" IS NOT NULL),
+dt AS (
+  SELECT doc_id, 'w' AS kind, 10 AS n, {words} AS t FROM d UNION ALL
+  SELECT doc_id, 'c', 20, {chars} FROM d WHERE regexp_matches(x, '{_HAN_SQL}')),
+dw AS (SELECT doc_id, kind, array_to_string(t[p:p + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(t) - n + 2)) AS p FROM dt))
+SELECT DISTINCT case_id, doc_id FROM dw JOIN cw USING (kind, g)
+"""
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     levels = reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels"))
     return levels.select("doc_id", "band")
@@ -167,7 +209,7 @@ QUERIES = {
     "p2_day_summaries": p2_day_summaries, "p2_percentiles": p2_percentiles, "p2_bounds_hold": p2_bounds_hold,
     "p3_found": p3_found, "p4_found": p4_found, "p4_lift": p4_lift, "p5_found": p5_found, "p6_found": p6_found,
     "p6_redacted": p6_redacted, "p7_ids": p7_ids,
-    "p8_found": p8_found, "p9_found": p9_found, "p9_profile": p9_profile,
+    "p8_found": p8_found, "p8_near": p8_near, "p9_found": p9_found, "p9_profile": p9_profile,
 }
 SQL = {
     "p2_bounds_hold": """
@@ -186,6 +228,7 @@ FROM o JOIN (SELECT unnest([CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE), CAST(0.95
     "p4_lift": _P4 + """
 SELECT item_kind, item_a, item_b, n_ab, n_a, n_b, round(CAST(n_ab AS DOUBLE) * n / (CAST(n_a AS DOUBLE) * n_b), 4) AS lift FROM s
 """,
+    "p8_found": _p8_sql(),
     "p5_found": _P5 + """
 SELECT session, CAST(row_number() OVER (PARTITION BY session ORDER BY turn, is_user DESC, step) AS INTEGER) AS pos, msg_id
 FROM good WHERE has_text

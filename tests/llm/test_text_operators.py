@@ -37,17 +37,41 @@ def test_edits_are_found_with_a_tolerance(spark):
     assert leaks.edit_distance(list("kitten"), list("sitting"), 3) == 3 and leaks.edit_distance(list("abc"), list("xyz"), 2) == 3
 
 
-def test_recall_of_the_keys_reaches_its_target():
+def edited(draw, tokens):
+    """One token changed, left out or put in, not at the ends, where a shorter window could match."""
+    out, p = list(tokens), draw.randrange(1, len(tokens) - 1)
+    kind = draw.randrange(3)
+    if kind == 0:
+        out[p] = "xx" if len(tokens[p]) > 1 else "囧"
+    elif kind == 1:
+        del out[p]
+    else:
+        out.insert(p, "yy" if len(tokens[p]) > 1 else "囧")
+    return out
+
+
+def test_near_passages_against_brute_force(spark):
     draw = random.Random(4)
-    met = 0
-    for k in range(200):
-        item = [f"w{draw.randrange(999)}" for _ in range(leaks.WORDS)]
-        near = list(item)
-        near[draw.randrange(leaks.WORDS)] = "other"
-        index = leaks.ItemIndex(leaks.WORDS, 1)
-        index.add("c", item, {})
-        met += bool(index.close().search([near], {})[0])
-    assert met >= 0.9 * 200
+    han = [chr(0x4E00 + k) for k in range(3000)]
+    items = [[f"w{draw.randrange(999)}" for _ in range(leaks.WORDS)] for _ in range(150)]
+    items += [[draw.choice(han) for _ in range(leaks.CHARS)] for _ in range(150)]
+    joined = [(" " if k < 150 else "").join for k in range(300)]
+    cases = [(f"c{k}", joined[k](t), None) for k, t in enumerate(items)]
+    docs = [joined[k](edited(draw, t)) for k, t in enumerate(items)] + ["nothing of the kind " * 9]
+
+    def distance_ok(k):
+        kind = leaks.words if k < 150 else leaks.characters
+        near, item, width = kind(docs[k]), items[k], len(items[k])
+        return any(leaks.edit_distance(near[p:p + width], item, 1) <= 1 for p in range(max(1, len(near) - width + 1)) if len(near[p:p + width]) == width)
+
+    possible = {(f"c{k}", k) for k in range(300) if distance_ok(k)}
+    got = set(leaked(spark, docs, cases, max_edits=1))
+    assert got <= possible
+    for low, high in ((0, 150), (150, 300)):
+        some = {x for x in possible if low <= x[1] < high}
+        assert len(some) > 30 and len(got & some) >= 0.9 * len(some)
+    assert set(leaked(spark, docs, cases, max_edits=1, broadcast=False)) == got  # by salted keys
+    assert leaked(spark, [" ".join(items[0])] * 50, cases, broadcast=False) == [("c0", k) for k in range(50)]
 
 
 def test_fragments_concatenate_to_the_whole_encoding(spark):
