@@ -6,14 +6,16 @@ identifiers and long words. Sorted from rare to frequent, the first
 have a Jaccard similarity of T or more share a token of their prefixes. The
 postings of prefix tokens, partitioned by token, are the index. A batch probes
 it with its own prefixes, sizes are filtered, the overlap and then the statement
-are verified, and the batch's postings are appended.
+are verified, and the batch's postings are appended (`PrefixIndex`).
 
-Entries that are equal after normalisation are one entry of the index with
-members. To keep a list with very many restatements of one thing linear, probing
-starts with *leader rounds*: each list's entries are compared with its earliest
-one only, and what matches leaves the list. In the last step every entry meets
-those entries of its whole lists that come before the match it has; since a
-match isn't transitive, nothing leaves the side that is met.
+A list of postings is split by a hash of the facts in which a pair must agree, so
+that a frequent token's list is many. Entries that are equal after normalisation
+are one entry of the index. To keep a long list with very many restatements of one
+thing linear, probing starts with *leader rounds*: such a list's entries are
+compared with its earliest one only, and what matches leaves the list. In the
+last step every entry meets those entries of its whole lists that come before
+the match it has; since a match isn't transitive, nothing leaves the side that
+is met.
 
 Two entries make the same statement if they have the same strong tokens
 (numbers, paths, identifiers, as a multiset), the same polarity, the same strong
@@ -23,23 +25,29 @@ enough of their other words in common, slips of spelling aside.
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import cut, small
+from ..session import cut, shared_folder, small
 
 #: Jaccard similarity of index tokens that a pair must reach.
 SIMILARITY = 0.6
 #: Words from this length on are index tokens, too.
 LONG_WORD = 11
-#: Rounds in which lists are compared with their earliest entry only.
-LEADER_ROUNDS = 2
+#: Rounds in which lists of more than LONG_LIST entries are compared with their earliest entry only.
+LEADER_ROUNDS, LONG_LIST = 4, 64
 #: Share of the smaller entry's other words that must be found again.
 SOFT_SHARE = 0.5
 
@@ -101,17 +109,23 @@ def polarity(lower: str, tokens: list[str]) -> str:
     return " ".join(f"{says}{counts[says]}" for says in POLARITY)
 
 
-FEATURES = (
-    "id string, asserted_at long, exact string, body string, strong string, camel string, "
-    "polarity string, tokens array<string>"
-)
+FEATURES = "id string, at long, exact binary, body string, camel string, facts long, tokens array<long>"
+
+
+def hash64(text: str) -> int:
+    """A signed 64-bit hash."""
+    return int(np.uint64(xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))).view(np.int64))
 
 
 def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """What an entry is compared by; entries without any word are left out."""
+    """What an entry is compared by; entries without any word are left out.
+
+    ``facts`` is a hash of the strong tokens and the polarity, in which a pair
+    must agree; ``tokens`` are hashes of the index tokens.
+    """
     for batch in batches:
         rows = []
-        for id_, at, content in zip(batch["id"], batch["asserted_at"], batch["content"]):
+        for id_, at, content in zip(batch["id"], batch["at"], batch["content"]):
             text = normal(content)
             lower = text.lower()
             sentences = [t for s in _SENTENCE.split(lower) if (t := _TOKEN.findall(s))]
@@ -123,10 +137,10 @@ def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = {*strong, *camel, *(t for t in every if len(t) >= LONG_WORD)}
             if len(index) < 3:
                 index |= {t for t in every if t.isascii()} | {a + b for a, b in zip(every, every[1:])}
-            rows.append((id_, at, " ".join(every), "\n".join(" ".join(s) for s in sentences), " ".join(strong),
-                         " ".join(camel), polarity(lower, every), sorted(index)))
-        yield pd.DataFrame(rows, columns=["id", "asserted_at", "exact", "body", "strong", "camel",
-                                          "polarity", "tokens"])
+            exact = hashlib.md5(" ".join(every).encode("utf-8", "surrogatepass")).digest()
+            rows.append((id_, at, exact, "\n".join(" ".join(s) for s in sentences), " ".join(camel),
+                         hash64(" ".join(strong) + "\n" + polarity(lower, every)), [hash64(t) for t in index]))
+        yield pd.DataFrame(rows, columns=["id", "at", "exact", "body", "camel", "facts", "tokens"])
 
 
 def close(a: str, b: str) -> bool:
@@ -152,10 +166,12 @@ def shared(a: set[str], b: set[str]) -> int:
 
 
 def same_statement(body_a: str, camel_a: str, body_b: str, camel_b: str) -> bool:
-    """The checks on two entries whose strong tokens and polarity are equal."""
+    """The checks on two entries whose polarity is equal."""
     a = [s.split(" ") for s in body_a.split("\n")]
     b = [s.split(" ") for s in body_b.split("\n")]
     all_a, all_b = {t for s in a for t in s}, {t for s in b for t in s}
+    if Counter(t for s in a for t in s if is_strong(t)) != Counter(t for s in b for t in s if is_strong(t)):
+        return False
     names = {*camel_a.split(), *camel_b.split()}
     if not (names <= all_a and names <= all_b):
         return False
@@ -189,99 +205,128 @@ def same_statement(body_a: str, camel_a: str, body_b: str, camel_b: str) -> bool
 def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         keep = [same_statement(*x) for x in zip(b["body"], b["camel"], b["body_e"], b["camel_e"])]
-        yield b.loc[keep, ["id", "earlier"]]
+        yield b.loc[keep, ["id", "at", "earlier", "earlier_at"]]
 
 
-def entry_features(entries: DataFrame) -> DataFrame:
-    """Features of each id: rows of one id are one entry, of its earliest asserted_at.
+def one_per_id(entries: DataFrame) -> DataFrame:
+    """(id, at, content): rows of one id are one entry, of its earliest asserted_at, in microseconds.
 
     Rows without id or content are left out; an entry without time comes last.
     """
-    one = (
+    at = F.coalesce(F.unix_micros("asserted_at"), F.lit(2**62)).alias("at")
+    return (
         entries.where(F.col("id").isNotNull() & F.col("content").isNotNull())
-        .groupBy("id").agg(F.min(F.struct(F.coalesce(F.unix_micros("asserted_at"), F.lit(2**62)).alias("asserted_at"), "content")).alias("e"))
-        .select("id", "e.asserted_at", "e.content")
+        .groupBy("id").agg(F.min(F.struct(at, "content")).alias("e")).select("id", "e.at", "e.content")
     )
-    return one.mapInPandas(features, FEATURES)
+
+
+#: Token frequencies are kept for so many classes of a token's hash: a table of fixed size.
+FREQUENCY_CLASSES = 1 << 16
 
 
 def token_frequencies(entries: DataFrame) -> DataFrame:
-    """(token, df): the order of the prefixes. A stored index keeps the one it was begun with."""
-    return entries.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+    """(class, df): the order of the prefixes. A stored index keeps the one it was begun with."""
+    token = F.explode("tokens").alias("token")
+    return entries.select(token).groupBy(F.pmod("token", F.lit(FREQUENCY_CLASSES)).cast("int").alias("class")).agg(F.count("*").alias("df"))
 
 
 def prefix_postings(entries: DataFrame, frequencies: DataFrame) -> DataFrame:
-    """(token, facts, order, size): the postings of each entry's rare-token prefix.
+    """(token, facts, at, id, size): the postings of each entry's rare-token prefix.
 
-    ``facts`` is a hash of the strong tokens and the polarity, in which a pair
-    must agree: a list's entries that can't match don't meet. ``order`` is
-    (asserted_at, id). A token without frequency counts as the rarest.
+    Tokens are ordered by the frequency of their class, then by their hash. The
+    frequencies, of fixed size, go to the tasks: the prefix is cut where the
+    entry is, without a shuffle.
     """
-    order = F.struct("asserted_at", "id").alias("order")
-    tokens = entries.select(order, F.xxhash64("strong", "polarity").alias("facts"), F.explode("tokens").alias("token"))
-    ranked = (
-        tokens.join(frequencies, "token", "left")
-        .groupBy("order", "facts")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token"))).alias("t"))
-        .withColumn("size", F.size("t"))
-    )
-    length = F.col("size") - F.ceil(F.col("size") * F.lit(SIMILARITY)).cast("int") + 1
-    return ranked.select(
-        "order", "facts", "size", F.explode(F.slice("t", F.lit(1), length)).alias("x")
-    ).select(F.col("x.token").alias("token"), "facts", "order", "size")
+    df = np.zeros(FREQUENCY_CLASSES, dtype=np.int64)
+    for row in frequencies.collect():
+        df[row["class"]] = row["df"]
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def prefix(lists: pd.Series) -> pd.Series:
+        def one(tokens):
+            order = np.lexsort((tokens, df[tokens % FREQUENCY_CLASSES]))
+            return tokens[order[:len(tokens) - int(np.ceil(len(tokens) * SIMILARITY)) + 1]]
+
+        return lists.map(one)
+
+    return entries.select(F.explode(prefix("tokens")).alias("token"), "facts", "at", "id", F.size("tokens").alias("size"))
 
 
 LIST = ["token", "facts"]
 
 
+def order() -> Column:
+    return F.struct("at", "id")
+
+
 def size_filter(size: Column, other: Column) -> Column:
     return (other >= size * F.lit(SIMILARITY)) & (size >= other * F.lit(SIMILARITY))
 
 
 def probe(batch: DataFrame, index: DataFrame) -> DataFrame:
-    """(id, earlier): pairs of a batch's entries with earlier ones of the index that share a list and a like size.
+    """(id, at, earlier, earlier_at, facts): pairs of a batch's entries with earlier ones of the index that share a list and a like size.
 
     If the batch has a column ``bound``, with those before it.
     """
-    e = index.select(*LIST, F.col("order").alias("order_e"), F.col("size").alias("size_e"))
-    bound = F.col("bound" if "bound" in batch.columns else "order")
-    met = batch.join(e, LIST).where((F.col("order_e") < bound) & size_filter(F.col("size"), F.col("size_e")))
-    return met.select(F.col("order.id").alias("id"), F.col("order_e.id").alias("earlier")).distinct()
+    e = index.select(*LIST, F.col("at").alias("earlier_at"), F.col("id").alias("earlier"), F.col("size").alias("size_e"))
+    bound = F.col("bound") if "bound" in batch.columns else order()
+    met = batch.join(e, LIST).where(
+        (F.struct(F.col("earlier_at").alias("at"), F.col("earlier").alias("id")) < bound) & size_filter(F.col("size"), F.col("size_e")))
+    return met.select("id", "at", "earlier", "earlier_at", "facts").distinct()
 
 
-def matches(pairs: DataFrame, batch: DataFrame, history: DataFrame) -> DataFrame:
-    """Of candidate pairs (id, earlier) those that make the same statement.
+def matches(pairs: DataFrame, own: DataFrame, known: DataFrame) -> DataFrame:
+    """Of candidate pairs those that make the same statement: (id, at, earlier, earlier_at).
 
-    Strong tokens and overlap are compared in the join, the rest row by row.
+    ``own`` has the later entries, ``known`` the earlier ones. Both are met in
+    the bucket of the pair's facts.
     """
-    pairs = small(pairs)
-    own = batch.select("id", "strong", "body", "camel", "tokens")
-    other = history.select(F.col("id").alias("earlier"), F.col("strong").alias("strong_e"), F.col("body").alias("body_e"),
-                           F.col("camel").alias("camel_e"), F.col("tokens").alias("tokens_e"))
-    full = own.join(pairs, "id").join(other, "earlier").where(F.col("strong") == F.col("strong_e"))
+    def side(entries: DataFrame, id_: str, end: str) -> DataFrame:
+        return entries.select("bucket", F.col("id").alias(id_), *[F.col(c).alias(f"{c}{end}") for c in ("body", "camel", "tokens")])
+
+    pairs = small(pairs.withColumn("bucket", bucket_of("facts")))
+    full = side(own, "id", "").join(pairs, ["bucket", "id"]).join(side(known, "earlier", "_e").hint("merge"), ["bucket", "earlier"])
     shared_tokens = F.size(F.array_intersect("tokens", "tokens_e"))
     enough = shared_tokens >= F.lit(SIMILARITY) * (F.size("tokens") + F.size("tokens_e") - shared_tokens)
-    return full.where(enough).select("id", "earlier", "body", "camel", "body_e", "camel_e").mapInPandas(
-        verify, "id string, earlier string")
+    return full.where(enough).select("id", "at", "earlier", "earlier_at", "body", "camel", "body_e", "camel_e").mapInPandas(verify, EDGE)
+
+
+EDGE = "id string, at long, earlier string, earlier_at long"
+#: Postings and entries are stored in so many buckets.
+BUCKETS = 32
+#: The stored tables.
+STORED = {
+    "postings": "token long, facts long, at long, id string, size int, bucket int",
+    "entries": f"{FEATURES}, bucket int",
+    "edges": EDGE,
+    "frequencies": "class int, df long",
+    "done": "name string",
+}
 
 
-def representatives(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the earliest entry of each exact text, (id, rep) of the others)."""
-    first = entries.groupBy(F.sha2("exact", 256).alias("key")).agg(F.min(F.struct("asserted_at", "id")).alias("f"))
-    marked = entries.withColumn("key", F.sha2("exact", 256)).join(first, "key")
-    reps = marked.where(F.col("f.id") == F.col("id")).drop("key", "f")
-    members = marked.where(F.col("f.id") != F.col("id")).select("id", F.col("f.id").alias("rep"))
-    return reps, members
+def bucket_of(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BUCKETS)).cast("int")
 
 
-def earliest(edges: DataFrame, entries: DataFrame) -> DataFrame:
+def before_match(probes: DataFrame, index: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(probes with their bound, index): what may hold an earlier match than those found.
+
+    An entry's ``bound`` is its earliest match so far, else the entry itself. It
+    probes the lists that have an entry before that; a list is met up to the
+    highest bound of its probes. In a list of copies that matched its leader
+    nothing is left.
+    """
+    best = found.groupBy("id").agg(F.min(F.struct(F.col("earlier_at").alias("at"), F.col("earlier").alias("id"))).alias("match"))
+    probes = probes.join(best, "id", "left").withColumn("bound", F.coalesce("match", order())).drop("match")
+    firsts = index.groupBy(*LIST).agg(F.min(order()).alias("first"))
+    probes = cut(probes.join(firsts, LIST).where(F.col("bound") > F.col("first")).drop("first"))
+    ends = probes.groupBy(*LIST).agg(F.max("bound").alias("end"))
+    return probes, index.join(ends, LIST).where(order() < F.col("end")).select(*index.columns)
+
+
+def earliest(edges: DataFrame) -> DataFrame:
     """(id, root): follows each entry's earliest match until an entry that has none."""
-    times = entries.select(F.col("id").alias("earlier"), F.col("asserted_at").alias("at"))
-    best = (
-        edges.join(times, "earlier").groupBy("id").agg(F.min(F.struct("at", "earlier")).alias("m"))
-        .select("id", F.col("m.earlier").alias("root"))
-    )
-    best = cut(best)
+    best = cut(edges.groupBy("id").agg(F.min(F.struct("earlier_at", "earlier")).alias("m")).select("id", F.col("m.earlier").alias("root")))
     while True:
         up = best.select(F.col("id").alias("root"), F.col("root").alias("above"))
         moved = cut(best.join(up, "root", "left").select("id", F.coalesce("above", "root").alias("root"),
@@ -291,96 +336,142 @@ def earliest(edges: DataFrame, entries: DataFrame) -> DataFrame:
             return best
 
 
-def before_match(postings: DataFrame, found: DataFrame | None, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(probes with their bound, index): what may hold an earlier match than those found.
-
-    An entry's ``bound`` is its earliest match so far, else the entry itself. It
-    probes the lists that have an entry before that; a list is met up to the
-    highest bound of its probes. In a list of copies that matched its leader
-    nothing is left. What a round compared is in no need of it again: the
-    earliest entry of each list.
-    """
-    probes = postings.withColumn("bound", F.col("order"))
-    if found is not None:
-        times = entries.select(F.col("id").alias("earlier"), "asserted_at")
-        best = found.join(times, "earlier").groupBy("id").agg(F.min(F.struct("asserted_at", F.col("earlier").alias("id"))).alias("match"))
-        probes = postings.join(best, F.col("order.id") == F.col("id"), "left").select(
-            *postings.columns, F.coalesce("match", "order").alias("bound"))
-    firsts = postings.groupBy(*LIST).agg(F.min("order").alias("first"))
-    probes = cut(probes.join(firsts, LIST).where(F.col("bound") > F.col("first")))
-    ends = probes.groupBy(*LIST).agg(F.max("bound").alias("end"), F.first("first").alias("first"))
-    met = F.col("order") < F.col("end")
-    if found is not None:
-        met = met & (F.col("order") > F.col("first"))
-    return probes.drop("first"), postings.join(ends, LIST).where(met).select(*postings.columns)
-
-
-def restatements(entries: DataFrame, leader_rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """(id, root): each entry that restates an earlier one, with the earliest that makes the statement.
-
-    All days at once: equal to letting day after day probe the index of all
-    entries before and append to it, since only earlier entries are met. The
-    number of leader rounds doesn't change the result, either.
-    An empty table gives an empty result.
+class PrefixIndex:
+    """The index as stored tables in a shared folder: one batch after the other probes it and is appended.
+
+    - ``frequencies`` of the first batch give the order of the prefixes for good;
+    - ``postings``, by batch and by bucket of the token;
+    - ``entries``, by batch and by bucket of the facts, to verify pairs;
+    - ``edges``, by batch: each entry with earlier ones that it restates.
+
+    A batch reads the buckets of its own tokens and facts only. It is in once
+    ``done`` names it; a batch that failed on its way is taken again under its
+    id, and overwrites what it left. The object holds no state: another process
+    may open the folder. A batch may hold entries that are earlier than stored
+    ones: stored entries that restate them come out, too. An id that is stored is
+    not taken again.
     """
-    every = cut(entry_features(entries))
-    reps, members = representatives(every)
-    reps = cut(reps)
-    postings = cut(prefix_postings(reps, token_frequencies(reps)))
-    found = None
-    lists = postings
-    for _ in range(leader_rounds):
-        leaders = lists.groupBy(*LIST).agg(F.min(F.struct("order", "size")).alias("l"), F.count("*").alias("n"))
-        leaders = leaders.where(F.col("n") > 1).select(*LIST, "l.order", "l.size")
-        new = cut(matches(cut(probe(lists, leaders)), reps, reps))
-        found = new if found is None else found.unionByName(new)
-        rest = lists.join(new.select("id").distinct(), F.col("order.id") == F.col("id"), "left_anti")
-        lists = cut(rest.join(leaders.select(*LIST, "order"), [*LIST, "order"], "left_anti"))
-    last = matches(cut(probe(*before_match(postings, found, reps))), reps, reps)
-    found = last if found is None else found.unionByName(last)
-    roots = earliest(found, reps)
-    of_members = members.join(roots.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "id", F.coalesce("root", "rep").alias("root"))
-    return roots.unionByName(of_members)
 
+    def __init__(self, spark: SparkSession, path: str, leader_rounds: int = LEADER_ROUNDS, long_list: int = LONG_LIST):
+        self.spark, self.path, self.leader_rounds, self.long_list = spark, path, leader_rounds, long_list
+
+    def _read(self, name: str, batches: list[str] | None = None) -> DataFrame:
+        """A stored table, of the given batches only; empty if nothing is there yet."""
+        schema = STORED[name] + (", batch string" if batches is not None else "")
+        try:
+            rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        except AnalysisException:
+            rows = self.spark.createDataFrame([], schema)
+        return rows if batches is None else rows.where(F.col("batch").isin([f"b{x}" for x in batches])).drop("batch")
+
+    def _write(self, df: DataFrame, name: str, batch: str) -> None:
+        writer = df.repartition("bucket").write.partitionBy("bucket") if "bucket" in df.columns else df.write
+        writer.mode("overwrite").parquet(f"{self.path}/{name}/batch=b{batch}")
+
+    def batches(self) -> list[str]:
+        """The batches that are in."""
+        return sorted(r[0] for r in self._read("done").distinct().collect())
+
+    def check(self, batch: DataFrame, name: str) -> DataFrame:
+        """Takes the batch ``name`` of (id, content, asserted_at) in; (id, at, earlier, earlier_at) that it brought to light."""
+        return self.take(one_per_id(batch), name)
+
+    def take(self, batch: DataFrame, name: str) -> DataFrame:
+        """`check` for entries that are already (id, at, content), one row for an id."""
+        before = [x for x in self.batches() if x != name]
+        entries = batch.mapInPandas(features, FEATURES).withColumn("bucket", bucket_of("facts"))
+        stored, history = self._read("entries", before), None
+        entries = cut(entries.join(stored.select("id"), "id", "left_anti") if before else entries)
+        if not before:
+            token_frequencies(entries).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/frequencies")
+        stored = stored.where(F.col("bucket").isin([r[0] for r in entries.select("bucket").distinct().collect()]))
+
+        # equal texts: all but the first restate it, and aren't posted
+        texts = entries.select("bucket", "exact", order().alias("o"))
+        if before:
+            texts = texts.unionByName(stored.select("bucket", "exact", order().alias("o")).join(
+                entries.select("bucket", "exact").distinct(), ["bucket", "exact"], "left_semi"))
+        marked = cut(entries.join(texts.groupBy("bucket", "exact").agg(F.min("o").alias("first")), ["bucket", "exact"]))
+        is_first = F.col("first.id") == F.col("id")
+        members = marked.where(~is_first).select("id", "at", F.col("first.id").alias("earlier"), F.col("first.at").alias("earlier_at"))
+        reps = marked.where(is_first).select(entries.columns)
+        known = reps.unionByName(stored.select(reps.columns)) if before else reps
+
+        own = cut(prefix_postings(reps, self._read("frequencies")))
+        index = own
+        if before:
+            lists = own.select(bucket_of("token").alias("bucket"), *LIST).distinct()
+            history = self._read("postings", before).where(F.col("bucket").isin([r[0] for r in lists.select("bucket").distinct().collect()]))
+            history = cut(history.join(lists, ["bucket", *LIST], "left_semi").select(own.columns))
+            index = own.unionByName(history)
+        edges = self._earlier(own, index, reps, known)
+        if before:
+            newest = history.agg(F.max("at")).first()[0]
+            late = own.where(F.col("at") <= newest) if newest is not None else own.limit(0)
+            if late.limit(1).count():
+                edges = edges.unionByName(matches(cut(probe(history, late)), stored, reps))
+        edges = cut(edges.unionByName(members).distinct())
+
+        self._write(own.withColumn("bucket", bucket_of("token")), "postings", name)
+        self._write(marked.select(entries.columns), "entries", name)
+        self._write(edges, "edges", name)
+        self.spark.createDataFrame([(name,)], STORED["done"]).coalesce(1).write.mode("append").parquet(f"{self.path}/done")
+        return edges
+
+    def _earlier(self, own: DataFrame, index: DataFrame, reps: DataFrame, known: DataFrame) -> DataFrame:
+        """Edges from a batch's entries to earlier ones: the earliest of all that there are is among them."""
+        found, probes, pool = None, own, index
+        for _ in range(self.leader_rounds):
+            lists = pool.groupBy(*LIST).agg(F.min(F.struct("at", "id", "size")).alias("l"), F.count("*").alias("n"))
+            leaders = cut(lists.where(F.col("n") > self.long_list).select(*LIST, "l.*"))
+            if not leaders.limit(1).count():
+                break
+            new = cut(matches(cut(probe(probes, leaders)), reps, known))
+            found = new if found is None else found.unionByName(new)
+            matched = new.select("id").distinct()
+            probes = cut(probes.join(leaders.select(*LIST), LIST, "left_semi").join(matched, "id", "left_anti"))
+            rest = pool.join(leaders.select(*LIST), LIST, "left_semi").join(matched, "id", "left_anti")
+            pool = cut(rest.join(leaders.select(*LIST, "at", "id"), [*LIST, "at", "id"], "left_anti"))
+        if found is None:
+            return matches(cut(probe(own, index)), reps, known)
+        return found.unionByName(matches(cut(probe(*before_match(own, index, found))), reps, known))
+
+    def restatements(self) -> DataFrame:
+        """(id, root) of all batches: each entry that restates an earlier one, with the earliest that makes the statement."""
+        return earliest(self._read("edges", self.batches()))
+
+
+#: Batches of consecutive days in which `restatements` takes a whole table in.
+DAY_BATCHES = 2
+
+
+def day_batches(entries: DataFrame, batches: int) -> list[tuple[int, int]]:
+    """Consecutive UTC days, from and up to but without, of about equal numbers of entries."""
+    days = sorted(tuple(r) for r in entries.groupBy(F.floor(F.col("at") / 86_400_000_000).alias("day")).count().collect())  # a row a day
+    total, sum_, out = sum(n for _, n in days), 0, []
+    for day, n in days:
+        if not out or sum_ * batches >= len(out) * total:
+            out.append(day)
+        sum_ += n
+    return list(zip(out, [*out[1:], days[-1][0] + 1])) if out else []
+
+
+def restatements(
+    entries: DataFrame, leader_rounds: int = LEADER_ROUNDS, batches: int = DAY_BATCHES, long_list: int = LONG_LIST
+) -> DataFrame:
+    """(id, root): each entry that restates an earlier one, with the earliest that makes the statement.
 
-class PrefixIndex:
-    """The index as a stored table: one batch after the other probes it and is appended.
-
-    ``path`` is a shared folder. Postings are written in `buckets` of the token's
-    hash, so that a batch reads the buckets it needs; the frequencies of the first
-    batch give the order of the prefixes for good.
+    The days are taken into a `PrefixIndex` one batch of days after the other.
+    Neither their number nor that of the leader rounds changes the result. An
+    empty table gives an empty result.
     """
-
-    def __init__(self, spark, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets, self.batches = spark, path, buckets, 0
-
-    def _read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
-
-    def check(self, batch: DataFrame) -> DataFrame:
-        """(id, root) of a batch whose entries all come after those before it; then appends the batch."""
-        entries = cut(entry_features(batch))
-        if not self.batches:
-            token_frequencies(entries).write.parquet(f"{self.path}/frequencies")
-        own = prefix_postings(entries, self._read("frequencies")).withColumn(
-            "bucket", F.pmod(F.xxhash64("token"), F.lit(self.buckets)))
-        own = cut(own)
-        index, known = own, entries
-        if self.batches:
-            index = index.unionByName(self._read("postings").select(own.columns))
-            known = known.unionByName(self._read("entries").select(entries.columns))
-        met = cut(matches(cut(probe(own, index)), entries, known))
-        own.write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        entries.write.mode("append").parquet(f"{self.path}/entries")
-        new = earliest(met, known)
-        if self.batches:
-            old = self._read("roots").select(F.col("id").alias("root"), F.col("root").alias("first"))
-            new = new.join(old, "root", "left").select("id", F.coalesce("first", "root").alias("root"))
-        new = cut(new)
-        new.write.mode("append").parquet(f"{self.path}/roots")
-        self.batches += 1
-        return new
+    spark = entries.sparkSession
+    every = cut(one_per_id(entries))
+    index = PrefixIndex(spark, f"{shared_folder(spark)}/restatements-{uuid.uuid4().hex}", leader_rounds, long_list)
+    day = F.floor(F.col("at") / 86_400_000_000)
+    for k, (first, end) in enumerate(day_batches(every, batches)):
+        index.take(every.where((day >= first) & (day < end)), f"b{k:06d}")
+    return index.restatements()
 
 
 def ordered_pairs(roots: DataFrame) -> DataFrame:

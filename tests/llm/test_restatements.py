@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from mnemospark.llm import restatements as r
 
@@ -25,7 +26,7 @@ def entries(spark, texts, days=None):
 
 
 def found(df):
-    return sorted(tuple(x) for x in r.restatements(df).collect())
+    return sorted(tuple(x) for x in r.restatements(df, batches=1).collect())
 
 
 def test_same_and_other_statements(spark):
@@ -56,18 +57,50 @@ def test_empty_table(spark):
     assert found(entries(spark, [])) == []
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 3])
+@pytest.mark.parametrize("rounds", [1, 3])
 def test_leader_rounds_change_nothing(spark, rounds):
     df = entries(spark, [FACT, *OTHER, *SAME])
-    assert sorted(tuple(x) for x in r.restatements(df, rounds).collect()) == found(df)
+    assert sorted(tuple(x) for x in r.restatements(df, rounds, 1, 1).collect()) == found(df)
 
 
-def test_day_after_day_equals_all_at_once(spark, tmp_path):
-    texts = [FACT, SAME[0], OTHER[0], SAME[1], OTHER[0] + " thanks", SAME[2], "fresh note on src/x.py with 5 pages and 17 rows", SAME[3]]
-    days = [0, 0, 1, 1, 1, 2, 2, 2]
-    df = entries(spark, texts, days)
+DAYS = [0, 0, 1, 1, 1, 2, 2, 2]
+TEXTS = [FACT, SAME[0], OTHER[0], SAME[1], OTHER[0] + " thanks", SAME[2], "fresh note on src/x.py with 5 pages and 17 rows", SAME[3]]
+
+
+def day(df, k):
+    return df.where(f"asserted_at = timestamp'{T + dt.timedelta(days=k)}'")
+
+
+def test_day_after_day_equals_all_at_once_and_the_folder_can_be_reopened(spark, tmp_path):
+    df = entries(spark, TEXTS, DAYS)
+    for k in range(3):
+        r.PrefixIndex(spark, str(tmp_path / "index")).check(day(df, k), f"2026-01-0{k + 1}")
+    index = r.PrefixIndex(spark, str(tmp_path / "index"))
+    assert index.batches() == ["2026-01-01", "2026-01-02", "2026-01-03"]
+    got = sorted(tuple(x) for x in index.restatements().collect())
+    assert got == found(df)
+    index.check(day(df, 1), "2026-01-02")  # a batch taken again leaves everything as it was
+    assert sorted(tuple(x) for x in index.restatements().collect()) == got
+    assert index._read("postings", index.batches()).count() == len({tuple(x) for x in index._read("postings", index.batches()).collect()})
+
+
+def test_late_batches_become_the_earlier_half(spark, tmp_path):
+    df = entries(spark, TEXTS, DAYS)
+    index = r.PrefixIndex(spark, str(tmp_path / "index"))
+    for k in (2, 0, 1):
+        index.check(day(df, k), str(k))
+    assert sorted(tuple(x) for x in index.restatements().collect()) == found(df)
+
+
+def test_a_batch_reads_its_own_buckets_only(spark, tmp_path):
+    df = entries(spark, TEXTS, DAYS)
     index = r.PrefixIndex(spark, str(tmp_path / "index"))
-    got = []
-    for day in range(3):
-        got += [tuple(x) for x in index.check(df.where(f"asserted_at = timestamp'{T + dt.timedelta(days=day)}'")).collect()]
-    assert sorted(got) == found(df)
+    index.check(day(df, 0), "a")
+    stored = index._read("postings", ["a"]).where(F.col("bucket").isin([1, 2]))
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket#" in plan.replace("isnotnull", "") or "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+
+
+def test_every_cut_into_batches_gives_the_same(spark):
+    df = entries(spark, [FACT, *OTHER, *SAME, FACT, SAME[0]])
+    assert found(df) == sorted(tuple(x) for x in r.restatements(df, 1, 3, 2).collect())
