@@ -4,7 +4,8 @@ Messages become nodes of reply graphs: a user message answers the last
 assistant step of the turn before, an assistant step answers the step before it
 or, as the first, the turn's user message. Each graph is sorted topologically
 with Kahn's algorithm, the timestamp (then the id) breaking ties; nodes that are
-left over lie on or behind a cycle, and their session is dropped. Role
+left over lie on or behind a cycle, and their session is dropped, as is one whose
+graph isn't a single chain: a message with two answers, or a second beginning. Role
 alternation and completeness are checked on aggregates per turn and session, so
 the check never holds a session in one place.
 
@@ -137,6 +138,13 @@ def kahn(ids: list, times: list, parents: list) -> list[int]:
 ORDERED = "session string, msg_id string, has_text boolean, pos long"
 
 
+def is_chain(ids: list, parents: list) -> bool:
+    """Whether there is one beginning and no message is answered twice."""
+    known = set(ids)
+    inside = [p for p in parents if p in known]
+    return len(inside) == len(ids) - 1 and len(set(inside)) == len(inside)
+
+
 def kahn_in_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Orders sessions that come as consecutive rows; holds one session at a time."""
     rest: pd.DataFrame | None = None
@@ -144,7 +152,7 @@ def kahn_in_stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def ordered(group: pd.DataFrame) -> pd.DataFrame | None:
         ids, marks = group["msg_id"].tolist(), group["has_text"].tolist()
         order = kahn(ids, group["micros"].tolist(), group["reply_to"].tolist())
-        if len(order) < len(ids):
+        if len(order) < len(ids) or not is_chain(ids, group["reply_to"].tolist()):
             return None
         return pd.DataFrame({
             "session": group["session"].iloc[0], "msg_id": [ids[k] for k in order],
@@ -171,8 +179,8 @@ def kahn_by_doubling(edges: DataFrame) -> DataFrame:
 
     After k rounds each node knows its ancestor 2^k steps up and how far it is,
     or its whole depth. When no node reaches a root any more, those without one
-    lie on or behind a cycle and their session is dropped. Each message has at
-    most one parent, so equal depths are ordered by time and id.
+    lie on or behind a cycle and their session is dropped. In a chain every depth
+    occurs once, and is the position; a session in which one doesn't is dropped.
     """
     parents = edges.select("session", F.col("msg_id").alias("reply_to"), F.lit(True).alias("there"))
     state = edges.join(parents, ["session", "reply_to"], "left").select(
@@ -193,10 +201,9 @@ def kahn_by_doubling(edges: DataFrame) -> DataFrame:
             (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
         ))
     cyclic = state.where(F.col("up").isNotNull()).select("session").distinct()
-    order = Window.partitionBy("session").orderBy("depth", "at", "msg_id")
-    return state.join(cyclic, "session", "left_anti").select(
-        "session", "msg_id", "has_text", F.row_number().over(order).cast("long").alias("pos")
-    )
+    chains = state.groupBy("session", "depth").agg(F.count("*").alias("n")).groupBy("session").agg(F.max("n").alias("n")).where(F.col("n") == 1)
+    return state.join(cyclic, "session", "left_anti").join(chains.select("session"), "session", "left_semi").select(
+        "session", "msg_id", "has_text", (F.col("depth") + 1).cast("long").alias("pos"))
 
 
 def order_messages(edges: DataFrame, sizes: DataFrame, stream_limit: int = STREAM_LIMIT) -> DataFrame:

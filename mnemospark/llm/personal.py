@@ -77,8 +77,6 @@ _TITLES = {"dr", "mr", "mrs", "ms", "mx", "prof", "herr", "frau", "sir", "miss"}
 _CAP = r"[A-ZÀ-Þ](?:[a-zß-ÿ]+|['’][A-Z](?:[a-z]+|[A-Z]+)|[A-ZÀ-Þ]+)(?:-[A-ZÀ-Þ](?:[a-zß-ÿ]+|[A-ZÀ-Þ]+))*"
 _RUN = re.compile(rf"{_NO_WORD}(?<![@./#-]){_CAP}|{_NO_WORD}(?<![@./#-])[A-Z]\.(?= )")
 _END = re.compile(r"[A-Za-z0-9_À-ɏ@/]")
-_WORDS_LEFT = re.compile(r"([A-Za-zÀ-ɏ]+)\W{0,2}$")
-_SPACE = re.compile(r"[ ,]+")
 
 
 def folded(text: str) -> str:
@@ -265,13 +263,34 @@ def han_patterns(spans: DataFrame) -> DataFrame:
     ).select("l", "r")
 
 
+def han_form(left: str, right: str) -> str:
+    """The regular expression of a name in a context as `left_of` and `right_of` write it: spaces at the name are free, Latin words match in either case."""
+    def han(side: str) -> bool:
+        return "㐀" <= side[0] <= "鿿"
+
+    own, other = re.escape(left), re.escape(right)
+    if left == "^":
+        before = rf"(?<![{HAN}])"
+    elif han(left):
+        edge = "" if len(left) == 2 else rf"(?<![{HAN}])"
+        before = f"(?:(?<={edge}{own})|(?<={edge}{own} ))"
+    else:
+        before = "(?:" + "|".join(f"(?<=(?<![A-Za-z]){own}{gap})" for gap in ("", " ", ":", ": ", "\\.", "\\. ")) + ")"
+    if right == "^":
+        after = rf"(?![{HAN}])"
+    elif han(right):
+        after = f"(?= *{other})" if len(right) == 2 else rf"(?= *{other}(?![{HAN}]))"
+    elif right == "(":
+        after = r"(?= *[(\[])"
+    else:
+        after = rf"(?= *{other}(?![A-Za-z]))"
+    form = f"{before}[{HAN}]{{2,3}}{after}"
+    return f"(?i:{form})" if re.search("[a-z]", left + right) else form
+
+
 def han_names(texts: DataFrame, patterns: list[tuple[str, str]]) -> DataFrame:
     """Names of two or three Chinese characters in the taken patterns, whatever their family."""
-    forms = []
-    for left, right in patterns:
-        before = rf"(?<![{HAN}])" if left == "^" else f"(?<={left})" if len(left) == 2 else rf"(?<=(?<![{HAN}]){left})"
-        after = rf"(?![{HAN}])" if right == "^" else f"(?={right})" if len(right) == 2 else rf"(?={right}(?![{HAN}]))"
-        forms.append(f"{before}[{HAN}]{{2,3}}{after}")
+    forms = [han_form(left, right) for left, right in patterns]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         compiled = [re.compile(f) for f in forms]
@@ -305,7 +324,7 @@ def items(texts: DataFrame, lexicon: DataFrame) -> DataFrame:
     texts = texts.where(F.col("row_id").isNotNull() & F.col("text").isNotNull()).select("src", "row_id", "text").distinct()
     lexicon = lexicon.where(F.col("name").isNotNull())
     han_seeds = lexicon.where((F.col("kind") == "family") & F.col("name").rlike(f"^[{HAN}]$")).select(F.col("name").alias("family")).distinct()
-    families = {r[0] for r in han_seeds.limit(5_000).collect()}  # single characters: a fixed, small set
+    families = {r[0] for r in han_seeds.collect()}  # single characters of the range HAN: there are 27,584
     spans = cut(texts.mapInPandas(candidates(families), SPANS))
     certain = spans.where(F.col("strict")).select("src", "row_id", F.col("kind").alias("pii_type"), "start_at", "end_at")
     names = spans.where(F.col("kind") == "name")

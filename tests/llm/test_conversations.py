@@ -70,6 +70,7 @@ def test_kahn_drops_cycles_and_both_ways_agree(spark):
     assert c.kahn(["a", "b", "c"], [3, 2, 1], [None, "a", "a"]) == [0, 2, 1]
     assert c.kahn(["a", "b", "c"], [1, 2, 3], ["b", "a", None]) == [2]
     edges = [("s", f"m{k}", T, True, f"m{k - 1}" if k else None) for k in range(40)] + [("t", "x", T, True, "y"), ("t", "y", T, True, "x")]
+    edges += [("branch", x, T, True, y) for x, y in (("a", None), ("b", "a"), ("c", "a"))] + [("two", "a", T, True, None), ("two", "b", T, True, None)]
     df = spark.createDataFrame(edges, "session string, msg_id string, at timestamp, has_text boolean, reply_to string")
     sizes = df.groupBy("session").agg(F.count("*").alias("messages"))
     got = [sorted(tuple(r) for r in c.order_messages(df, sizes, n).collect()) for n in (100, 0)]

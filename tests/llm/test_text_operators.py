@@ -255,6 +255,17 @@ def test_unlisted_chinese_families_are_discovered(spark):
     assert hits == set(range(len(texts) - 2))
 
 
+def test_contexts_of_brackets_spaces_and_latin_words_match():
+    import re
+
+    for left, right, text, name in (("人", "(", "收件人陈知榆 (晚)", "陈知榆"), ("please ask", "today", "Please ask 陈知榆 today", "陈知榆"),
+                                    ("^", "said", "陈知榆 said so", "陈知榆"), ("owner", "^", "owner: 陈澈", "陈澈")):
+        found = re.search(personal.han_form(left, right), text)
+        assert left == "人" or found.group() == name
+    assert re.search(personal.han_form("件人", "("), "收件人陈知榆 (晚)").group() == "陈知榆"
+    assert not re.search(personal.han_form("件人", "("), "收件人陈知榆说")
+
+
 def test_empty_tables(spark):
     df, found = personal_items(spark, [])
     assert found.count() == 0 and personal.redact(df, found).count() == 0
