@@ -34,6 +34,41 @@ def bootstrap(values: DataFrame, value: str, unit: str, rounds: int = 200) -> Da
     return draws.withColumn("w", weight).groupBy("round").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
 
 
+def interval(means: DataFrame) -> DataFrame:
+    """One row (lowest, middle, highest): the 2.5 %, 50 % and 97.5 % points of bootstrap means, by nearest rank."""
+    at = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY mean)").alias(name) for q, name in ((0.025, "lowest"), (0.5, "middle"), (0.975, "highest"))]
+    return means.select(F.round("mean", 6).alias("mean")).agg(*at)
+
+
+def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row (b01, b10, p_value) of two systems' successes on the same cases: the exact two-sided binomial test.
+
+    Only the counts of cases that one system solved and the other didn't matter; without any p is 1.
+    """
+    counts = pairs.agg(F.count_if(~F.col(a) & F.col(b)).alias("b01"), F.count_if(F.col(a) & ~F.col(b)).alias("b10"))
+    n, k = F.col("b01") + F.col("b10"), F.least("b01", "b10")
+    # the binomial chances from 0 to k, each from the one before; in logarithms, so that large n don't vanish
+    start = F.struct((n * F.lit(-math.log(2))).alias("log"), F.exp(n * F.lit(-math.log(2))).alias("sum"))
+
+    def add(acc: Column, i: Column) -> Column:
+        log = acc["log"] + F.log((n - i + 1) / i)
+        return F.struct(log.alias("log"), (acc["sum"] + F.exp(log)).alias("sum"))
+
+    steps = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k)).otherwise(F.array().cast("array<bigint>"))
+    return counts.withColumn("p_value", F.round(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, add)["sum"]), 6))
+
+
+def set_scores(found: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row (tp, fp, fn, precision, recall, f1) of two sets of rows with equal columns, over all keys together."""
+    columns = gold.columns
+    a, b = found.distinct().withColumn("f", F.lit(True)), gold.distinct().withColumn("g", F.lit(True))
+    c = a.join(b, columns, "full").agg(F.count_if(F.col("f") & F.col("g")).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"),
+                                       F.count_if(F.col("f").isNull()).alias("fn"))
+    p, r = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
+    return c.select("tp", "fp", "fn", F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"),
+                    F.round(F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")), 6).alias("f1"))
+
+
 def confusion(df: DataFrame, actual: Column, predicted: Column) -> DataFrame:
     """One row: tp, fp, fn, tn, recall, false-positive rate."""
     a, p = F.coalesce(actual, F.lit(False)), F.coalesce(predicted, F.lit(False))

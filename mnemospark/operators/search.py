@@ -73,6 +73,43 @@ def fuse(lists: list[tuple[str, DataFrame, float]], k: int = RRF_K) -> DataFrame
     return every.groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), F.array_sort(F.collect_set("channel")).alias("channels"))
 
 
+def tag_channel(asked: DataFrame, tags: DataFrame, docs: DataFrame, n: int = 16) -> DataFrame:
+    """Documents whose tags are terms of the query, most shared first; ``asked`` is (query_id, term), ``tags`` (memory_id, tag)."""
+    named = tags.select(F.col("memory_id").alias("doc_id"), F.lower(F.trim("tag")).alias("term")).distinct()
+    met = named.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+    return top(met.join(docs.select("doc_id"), "doc_id", "left_semi"), n)
+
+
+def graph_channel(seeds: DataFrame, edges: DataFrame, docs: DataFrame, per_seed: int = 3) -> DataFrame:
+    """Neighbours of each query's seeds, in either direction, that are no seeds: ``per_seed`` by id, in order of their seed.
+
+    ``seeds`` is (query_id, doc_id, rank), ``edges`` (from_id, to_id).
+    """
+    both = edges.select(F.col("from_id").alias("seed"), F.col("to_id").alias("doc_id")).unionByName(
+        edges.select(F.col("to_id").alias("seed"), F.col("from_id").alias("doc_id"))).distinct()
+    near = both.join(small(seeds.select("query_id", F.col("doc_id").alias("seed"), F.col("rank").alias("seed_rank"))), "seed")
+    new = near.join(docs.select("doc_id"), "doc_id", "left_semi").join(seeds.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query_id", "seed").orderBy("doc_id"))
+    first = new.withColumn("place", place).where(F.col("place") <= per_seed).groupBy("query_id", "doc_id").agg(F.min("seed_rank").alias("seed_rank"))
+    w = Window.partitionBy("query_id").orderBy("seed_rank", "doc_id")
+    return first.withColumn("rank", F.row_number().over(w)).select("query_id", "doc_id", "rank")
+
+
+def demoted(hits: DataFrame, entries: DataFrame, factor: float = 0.1, least: float = 0.5) -> DataFrame:
+    """``hits`` (query_id, doc_id, score) with ``superseded`` and the score cut where a newer hit of the same query overlaps.
+
+    Only a query's own hits meet, which the caller has limited. ``entries`` is
+    (doc_id, kind, project, valid_at, t).
+    """
+    full = hits.join(entries, "doc_id").withColumn("project", F.coalesce("project", F.lit("")))
+    newer = full.select("query_id", "kind", "project", F.col("valid_at").alias("at"), F.col("t").alias("u"))
+    beaten = full.join(newer, ["query_id", "kind", "project"]).where(
+        (F.col("at") > F.col("valid_at")) & (F.round(text.overlap(F.col("t"), F.col("u")), 6) >= least))
+    flags = beaten.select("query_id", "doc_id").distinct().withColumn("superseded", F.lit(True))
+    out = hits.join(flags, ["query_id", "doc_id"], "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))
+    return out.withColumn("score", F.when(F.col("superseded"), F.col("score") * factor).otherwise(F.col("score")))
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, n: int, floor: float = -1.0) -> DataFrame:
     """(query_id, doc_id, score, rank): the n vectors of highest cosine per query, the query's own row left out.
 

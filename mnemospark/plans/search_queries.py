@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
-from ..operators import evaluate, search, store
-from ..session import cut, table
-from .common import ENTRIES, terms
+from ..functions import scoring, text
+from ..operators import evaluate, graph, search, store
+from ..session import cut, small, table
+from .common import ENTRIES, NOW, terms
+from .store_queries import DECAY, EDGES
 
 WITH = f"WITH {ENTRIES}"
 
@@ -41,27 +42,75 @@ def bm25_filtered_after_window(spark: SparkSession, d: str) -> DataFrame:
 def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
     """Per query how many documents pass the coverage gate."""
     sizes = search.query_terms(_asked(spark, d)).groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    scored = _lexical(spark, d).join(F.broadcast(sizes), "query_id")
+    scored = _lexical(spark, d).join(small(sizes), "query_id")
     return scored.where(search.qualifies(F.col("matched"), F.col("n_terms"))).groupBy("query_id").agg(F.count("*").alias("n"))
 
 
-def _entity_channel(spark: SparkSession, d: str) -> DataFrame:
-    """Entries that share identifiers with the best five of a query, most shared first."""
-    seeds = search.top(_lexical(spark, d), 5).select("query_id", "doc_id")
-    docs = _docs(spark, d).select("doc_id", F.explode(text.identifiers_in(F.col("text"))).alias("entity"))
-    docs = cut(docs)
-    wanted = seeds.join(docs, "doc_id").select("query_id", "entity").distinct()
-    shared = docs.join(wanted, "entity").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
+def _entity_channel(spark: SparkSession, d: str, seeds: DataFrame) -> DataFrame:
+    """Entries that share identifiers with a query's seeds, most shared first."""
+    docs = cut(_docs(spark, d).select("doc_id", F.explode(text.identifiers_in(F.col("text"))).alias("entity")))
+    wanted = docs.join(small(seeds.select("query_id", "doc_id")), "doc_id").select("query_id", "entity").distinct()
+    shared = docs.join(small(wanted), "entity").groupBy("query_id", "doc_id").agg(F.count("*").alias("score"))
     return search.top(shared.join(seeds, ["query_id", "doc_id"], "left_anti"), 16)
 
 
+def _window(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(the thirty best by words, the five best of them): ranked once."""
+    window = cut(search.top(_lexical(spark, d), 30).select("query_id", "doc_id", "score", "rank"))
+    return window, window.where(F.col("rank") <= 5)
+
+
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """Lexical and entity channel fused by reciprocal rank, ten best per query."""
-    lists = [("bm25", search.top(_lexical(spark, d), 30), 8.0), ("entity", _entity_channel(spark, d), 1.0)]
+    window, seeds = _window(spark, d)
+    lists = [("bm25", window, 8.0), ("entity", _entity_channel(spark, d, seeds), 1.0)]
     fused = search.fuse(lists).withColumn("score", F.round("score", 8))
     return search.top(fused, 10).select("query_id", "doc_id", "score", F.array_join("channels", "+").alias("channels"), "rank")
 
 
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    """Four channels fused, the thirty best per query: words, entities, tags and merge edges."""
+    window, seeds = _window(spark, d)
+    docs = _docs(spark, d).select("doc_id")
+    asked = search.query_terms(_asked(spark, d))
+    lists = [("bm25", window, 8.0), ("entity", _entity_channel(spark, d, seeds), 1.0),
+             ("graph", search.graph_channel(seeds, graph.merge_edges(table(spark, d, "memories")), docs), 1.0),
+             ("tag", search.tag_channel(asked, table(spark, d, "tags"), docs), 1.0)]
+    fused = search.fuse(lists).withColumn("score", F.round("score", 8))
+    return search.top(fused, 30).withColumn("channels", F.array_join("channels", "+")).select("query_id", "doc_id", "score", "channels", "rank")
+
+
+def fused_channels(spark: SparkSession, d: str) -> DataFrame:
+    return _fused(spark, d)
+
+
+def channel_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per set of channels: entries that some query reaches through it, and hits."""
+    return _fused(spark, d).groupBy("channels").agg(F.count_distinct("doc_id").alias("entries"), F.count("*").alias("hits"))
+
+
+def ranked_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Fused hits by composite score, those that a newer hit of the same query supersedes at a tenth; ten best per query."""
+    rows = store.visible(store.entries(table(spark, d, "memories"))).where(F.col("content").isNotNull()).withColumnRenamed("id", "doc_id")
+    composite = scoring.composite(F.col("score"), F.col("kind"), scoring.age_days(F.col("valid_at"), NOW), F.col("importance"),
+                                  F.col("confidence"), F.col("reinforcement"))
+    hits = cut(_fused(spark, d).select("query_id", "doc_id", "score"))
+    scored = hits.join(rows, "doc_id").select("query_id", "doc_id", composite.alias("score"))
+    entries = rows.select("doc_id", "kind", "project", "valid_at", text.token_set(F.col("content")).alias("t")).join(
+        small(hits.select("doc_id").distinct()), "doc_id", "left_semi")
+    final = search.demoted(scored, entries).withColumn("score", F.round("score", 6))
+    return search.top(final, 10).select("query_id", "doc_id", "score", "superseded", "rank")
+
+
+def paired_significance(spark: SparkSession, d: str) -> DataFrame:
+    """McNemar's test of words alone against four channels: whether the best ten hold an expected entry."""
+    gold = table(spark, d, "eval_cases").select(F.col("case_id").alias("query_id"), F.explode(F.array_distinct("expect")).alias("doc_id"))
+    window, _ = _window(spark, d)
+    a = evaluate.ranking_measures(window, gold, 10).select("query_id", F.col("hit").alias("a"))
+    b = evaluate.ranking_measures(_fused(spark, d), gold, 10).select("query_id", F.col("hit").alias("b"))
+    return evaluate.mcnemar(a.join(b, "query_id"), "a", "b")
+
+
 def mmr_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Eight diverse results of the forty best per query."""
     best = search.top(_lexical(spark, d), 40).select("query_id", "doc_id", "score")
@@ -92,12 +141,10 @@ def retrieval_measures(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recall_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Bootstrap interval of how many documents share a fifth of a query's terms, over the queries."""
-    sizes = search.query_terms(_asked(spark, d)).groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    per = _lexical(spark, d).join(F.broadcast(sizes), "query_id").groupBy("query_id").agg(
-        F.count_if(F.col("matched") * 5 >= F.col("n_terms")).cast("double").alias("x"))
-    means = evaluate.bootstrap(per, "x", "query_id", 200)
-    return means.agg(F.round(F.min("mean"), 6).alias("lowest"), F.round(F.avg("mean"), 6).alias("middle"), F.round(F.max("mean"), 6).alias("highest"))
+    """Bootstrap interval of the lexical search's recall at ten over the queries: the 2.5 %, 50 % and 97.5 % points."""
+    gold = table(spark, d, "eval_cases").select(F.col("case_id").alias("query_id"), F.explode(F.array_distinct("expect")).alias("doc_id"))
+    per = evaluate.ranking_measures(search.top(_lexical(spark, d), 10), gold, 10)
+    return evaluate.interval(evaluate.bootstrap(cut(per.select("query_id", "recall")), "recall", "query_id", 200))
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -151,6 +198,26 @@ n AS (SELECT query_id, own, vec_id AS doc_id, label AS other, list_cosine_simila
   QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) <= 10)
 """
 _IDS = "list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[-_][A-Za-z0-9]+)+|[A-Za-z]*[a-z][A-Z][A-Za-z]+'), lambda x: lower(x)))"
+_FUSED = f""", ent AS (SELECT doc_id, unnest({_IDS}) AS entity FROM docs),
+  want AS (SELECT DISTINCT query_id, entity FROM ranked JOIN ent USING (doc_id) WHERE rank <= 5),
+  seeds AS (SELECT query_id, doc_id, rank FROM ranked WHERE rank <= 5),
+  ech AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc_id) AS rank FROM (
+    SELECT query_id, doc_id, count(*) AS c FROM ent JOIN want USING (entity) WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM seeds) GROUP BY 1, 2) QUALIFY rank <= 16),
+  tch AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, doc_id) AS rank FROM (
+    SELECT query_id, doc_id, count(*) AS c FROM (SELECT DISTINCT memory_id AS doc_id, lower(trim(tag)) AS term FROM tags) JOIN asked USING (term)
+    WHERE doc_id IN (SELECT doc_id FROM docs) GROUP BY 1, 2) QUALIFY rank <= 16),
+  {EDGES},
+  near AS (SELECT query_id, seed, doc_id, rank AS seed_rank, row_number() OVER (PARTITION BY query_id, seed ORDER BY doc_id) AS place FROM (
+    SELECT s.query_id, s.rank, n.seed, n.doc_id FROM seeds s JOIN (SELECT from_id AS seed, to_id AS doc_id FROM edges UNION SELECT to_id, from_id FROM edges) n ON n.seed = s.doc_id
+    WHERE n.doc_id IN (SELECT doc_id FROM docs) AND (s.query_id, n.doc_id) NOT IN (SELECT (query_id, doc_id) FROM seeds))),
+  gch AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY r, doc_id) AS rank FROM (SELECT query_id, doc_id, min(seed_rank) AS r FROM near WHERE place <= 3 GROUP BY 1, 2)),
+  fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+    SELECT query_id, doc_id, round(sum(s), 8) AS score, string_agg(ch, '+' ORDER BY ch) AS channels FROM (
+      SELECT query_id, doc_id, 8.0::DOUBLE / (20 + rank) AS s, 'bm25' AS ch FROM ranked WHERE rank <= 30
+      UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'entity' FROM ech UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'tag' FROM tch
+      UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'graph' FROM gch) GROUP BY 1, 2) QUALIFY rank <= 30)
+"""
+_GOLD = "gold AS (SELECT DISTINCT case_id AS query_id, unnest(expect) AS doc_id FROM eval_cases)"
 _ASK = "(SELECT query_id, count(*) AS n_terms FROM asked GROUP BY 1)"
 
 SQL = {
@@ -168,6 +235,30 @@ SQL = {
         SELECT query_id, doc_id, 8.0::DOUBLE / (20 + rank) AS s, 'bm25' AS ch FROM ranked WHERE rank <= 30
         UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'entity' FROM ech) GROUP BY 1, 2)
       SELECT query_id, doc_id, score, channels, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""",
+    "fused_channels": WITH + _LEX + _FUSED + "SELECT query_id, doc_id, score, channels, CAST(rank AS INTEGER) AS rank FROM fused",
+    "channel_coverage": WITH + _LEX + _FUSED + "SELECT channels, count(DISTINCT doc_id) AS entries, count(*) AS hits FROM fused GROUP BY 1",
+    "ranked_hits": WITH + _LEX + _FUSED + f""", e AS (SELECT id AS doc_id, kind, coalesce(project, '') AS project, valid_at, list_distinct({terms('content')}) AS t, ({DECAY})
+        * CASE kind WHEN 'context' THEN 0.45 WHEN 'event' THEN 0.3 ELSE 1 END * (0.6 + 0.4 * coalesce(importance, 5) / 10)
+        * (0.7 + 0.3 * coalesce(confidence, 0.7)) * (1 + ln(1 + coalesce(reinforcement, 0)) / 4) AS weight FROM visible WHERE content IS NOT NULL),
+      h AS (SELECT query_id, doc_id, score * weight AS score, kind, project, valid_at, t FROM fused JOIN e USING (doc_id)),
+      b AS (SELECT DISTINCT a.query_id, a.doc_id FROM h a JOIN h n ON a.query_id = n.query_id AND a.kind = n.kind AND a.project = n.project AND n.valid_at > a.valid_at
+        WHERE least(len(a.t), len(n.t)) > 0 AND round(len(list_intersect(a.t, n.t))::DOUBLE / least(len(a.t), len(n.t)), 6) >= 0.5),
+      s AS (SELECT query_id, doc_id, (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM b) AS superseded, score FROM h),
+      r AS (SELECT query_id, doc_id, superseded, round(CASE WHEN superseded THEN score * 0.1 ELSE score END, 6) AS score FROM s)
+      SELECT query_id, doc_id, score, superseded, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM r QUALIFY rank <= 10""",
+    "paired_significance": WITH + _LEX + _FUSED + f""", {_GOLD}, q AS (SELECT DISTINCT query_id FROM gold),
+      p AS (SELECT query_id, query_id IN (SELECT query_id FROM ranked JOIN gold USING (query_id, doc_id) WHERE rank <= 10) AS a,
+        query_id IN (SELECT query_id FROM fused JOIN gold USING (query_id, doc_id) WHERE rank <= 10) AS b FROM q),
+      c AS (SELECT count(*) FILTER (NOT a AND b) AS b01, count(*) FILTER (a AND NOT b) AS b10 FROM p)
+      SELECT b01, b10, round(least(1.0, 2 * list_sum(list_transform(range(0, least(b01, b10) + 1),
+        lambda i: exp(lgamma(b01 + b10 + 1) - lgamma(i + 1) - lgamma(b01 + b10 - i + 1) - (b01 + b10) * ln(2))))), 6) AS p_value FROM c""",
+    "recall_bootstrap": WITH + _LEX + f""", {_GOLD},
+      per AS (SELECT g.query_id, coalesce(h.n, 0)::DOUBLE / g.n AS x FROM (SELECT query_id, count(*) AS n FROM gold GROUP BY 1) g
+        LEFT JOIN (SELECT query_id, count(*) AS n FROM ranked JOIN gold USING (query_id, doc_id) WHERE rank <= 10 GROUP BY 1) h USING (query_id)),
+      d AS (SELECT r, x, CAST('0x' || substring(md5(r || ':' || query_id), 1, 8) AS BIGINT) % 10000 AS p FROM per, (SELECT unnest(range(1, 201)) AS r)),
+      w AS (SELECT r, x, CASE WHEN p < 3679 THEN 0 WHEN p < 7358 THEN 1 WHEN p < 9197 THEN 2 ELSE 3 END AS w FROM d),
+      m AS (SELECT round(sum(w * x) / sum(w), 6) AS mean FROM w GROUP BY r)
+      SELECT quantile_disc(mean, 0.025) AS lowest, quantile_disc(mean, 0.5) AS middle, quantile_disc(mean, 0.975) AS highest FROM m""",
     "abstain_flags": WITH + _LEX + """, nm AS (SELECT DISTINCT query_id, name FROM (SELECT case_id AS query_id, unnest(list_filter(regexp_extract_all(query, '[A-Za-z]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{3,}|[A-Z]{2,}'))) AS name FROM eval_cases)),
       sn AS (SELECT query_id, bool_or(list_contains(regexp_extract_all(regexp_replace(lower(text), '[\\x{4E00}-\\x{9FFF}]+', ' ', 'g'), '[\\p{L}\\p{N}_]+'), lower(name))) AS seen
         FROM nm JOIN ranked USING (query_id) JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY 1)
@@ -188,5 +279,5 @@ SQL = {
       SELECT source, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 5""",
 }
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_filtered_after_window, coverage_gate, rrf_fusion, mmr_rerank, answer_within_budget, abstain_flags, retrieval_measures,
+    bm25_topk, bm25_filtered_after_window, coverage_gate, rrf_fusion, fused_channels, channel_coverage, ranked_hits, paired_significance, mmr_rerank, answer_within_budget, abstain_flags, retrieval_measures,
     recall_bootstrap, vector_topk, vector_class_precision, page_match)}
