@@ -117,6 +117,10 @@ _SPEECH = """WITH s AS (SELECT session, msg_id, CASE WHEN "type" = 'user/message
     QUALIFY row_number() OVER (PARTITION BY msg_id ORDER BY received_at DESC) = 1))
 """
 SQL = {
+    "coalesced_hits": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+      w AS (SELECT user_id, min(us) AS us FROM e GROUP BY 1
+        UNION ALL SELECT w.user_id, min(e.us) FROM w JOIN e ON e.user_id = w.user_id AND e.us >= w.us + 300000000 GROUP BY 1)
+      SELECT user_id, count(*) AS n FROM w GROUP BY 1""",
     "ledger_percentiles": _CAP + """SELECT outcome, q, value FROM (SELECT outcome, unnest([0.5::DOUBLE, 0.95::DOUBLE, 1.0::DOUBLE]) AS q,
       unnest([quantile_disc(totalMs, 0.5), quantile_disc(totalMs, 0.95), max(totalMs)]) AS value FROM c WHERE totalMs IS NOT NULL GROUP BY outcome)""",
     "session_rollup": _CAP + """, p AS (SELECT session, outcome, count(*) AS k, min("at") AS lo, max("at") AS hi FROM c WHERE "at" IS NOT NULL GROUP BY 1, 2)

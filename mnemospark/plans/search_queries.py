@@ -9,7 +9,7 @@ from ..functions import scoring, text
 from ..operators import evaluate, graph, search, store
 from ..session import cut, small, table
 from .common import ENTRIES, NOW, terms
-from .store_queries import DECAY, EDGES
+from .store_queries import COST, DECAY, EDGES
 
 WITH = f"WITH {ENTRIES}"
 
@@ -259,6 +259,12 @@ SQL = {
       w AS (SELECT r, x, CASE WHEN p < 3679 THEN 0 WHEN p < 7358 THEN 1 WHEN p < 9197 THEN 2 ELSE 3 END AS w FROM d),
       m AS (SELECT round(sum(w * x) / sum(w), 6) AS mean FROM w GROUP BY r)
       SELECT quantile_disc(mean, 0.025) AS lowest, quantile_disc(mean, 0.5) AS middle, quantile_disc(mean, 0.975) AS highest FROM m""",
+    "answer_within_budget": WITH.replace("WITH", "WITH RECURSIVE") + _LEX + f""", r AS (SELECT query_id, doc_id, rank, {COST.replace('content', 'text')} AS cost
+        FROM ranked JOIN docs USING (doc_id) WHERE rank <= 20),
+      walk AS (SELECT query_id, doc_id, rank, cost, cost <= 300 AS taken, CASE WHEN cost <= 300 THEN cost ELSE 0 END AS used FROM r WHERE rank = 1
+        UNION ALL SELECT r.query_id, r.doc_id, r.rank, r.cost, w.used + r.cost <= 300, CASE WHEN w.used + r.cost <= 300 THEN w.used + r.cost ELSE w.used END
+        FROM walk w JOIN r ON r.query_id = w.query_id AND r.rank = w.rank + 1)
+      SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, CAST(cost AS BIGINT) AS cost FROM walk WHERE taken""",
     "abstain_flags": WITH + _LEX + """, nm AS (SELECT DISTINCT query_id, name FROM (SELECT case_id AS query_id, unnest(list_filter(regexp_extract_all(query, '[A-Za-z]+'), lambda x: regexp_full_match(x, '[A-Z][a-z]{3,}|[A-Z]{2,}'))) AS name FROM eval_cases)),
       sn AS (SELECT query_id, bool_or(list_contains(regexp_extract_all(regexp_replace(lower(text), '[\\x{4E00}-\\x{9FFF}]+', ' ', 'g'), '[\\p{L}\\p{N}_]+'), lower(name))) AS seen
         FROM nm JOIN ranked USING (query_id) JOIN docs USING (doc_id) WHERE rank <= 5 GROUP BY 1)

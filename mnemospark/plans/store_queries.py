@@ -225,8 +225,14 @@ SQL = {
         WHEN o.st IS DISTINCT FROM n.st OR o.ex IS DISTINCT FROM n.ex OR o.va IS DISTINCT FROM n.va OR o.mf IS DISTINCT FROM n.mf THEN 'updated'
         ELSE 'unchanged' END AS change, count(*) AS n FROM o FULL JOIN n ON o.memory_id = n.memory_id GROUP BY 1""",
     "budget_prefix": WITH + f""", r AS (SELECT project, id, importance, {COST} AS cost,
-        row_number() OVER (PARTITION BY project ORDER BY coalesce(importance, 5) DESC, id) AS pos FROM visible WHERE project IS NOT NULL QUALIFY pos <= 50)
+        row_number() OVER (PARTITION BY project ORDER BY coalesce(importance, 5) DESC, id) AS pos FROM visible WHERE project IS NOT NULL)
       SELECT project, id, CAST(sum(cost) OVER (PARTITION BY project ORDER BY pos) AS BIGINT) AS used FROM r QUALIFY used <= 1200""",
+    "budget_greedy": WITH.replace("WITH", "WITH RECURSIVE") + f""", r AS (SELECT project, id, coalesce({COST}, 1201) AS cost,
+        row_number() OVER (PARTITION BY project ORDER BY coalesce(importance, 5) DESC, id) AS pos FROM visible WHERE project IS NOT NULL),
+      walk AS (SELECT project, id, pos, cost, cost <= 1200 AS taken, CASE WHEN cost <= 1200 THEN cost ELSE 0 END AS used FROM r WHERE pos = 1
+        UNION ALL SELECT r.project, r.id, r.pos, r.cost, w.used + r.cost <= 1200, CASE WHEN w.used + r.cost <= 1200 THEN w.used + r.cost ELSE w.used END
+        FROM walk w JOIN r ON r.project = w.project AND r.pos = w.pos + 1)
+      SELECT project, id, CAST(pos AS INTEGER) AS pos, CAST(cost AS BIGINT) AS cost FROM walk WHERE taken""",
     "out_edges": WITH + f", {EDGES}" + """ SELECT a.kind AS from_kind, b.kind AS to_kind, count(*) AS n FROM edges
       JOIN visible a ON a.id = from_id JOIN visible b ON b.id = to_id GROUP BY 1, 2""",
     "degree_summary": f"WITH {EDGES}" + """, d AS (SELECT id, sum(o) AS n_out, sum(i) AS n_in FROM (
@@ -240,7 +246,6 @@ SQL = {
         UNION ALL SELECT w.id, s.nx, w.hops + 1 FROM walk w JOIN step s ON s.from_id = w.last WHERE s.nx <> w.id AND w.hops < 10)
       SELECT id, arg_max(last, hops) AS last, max(hops) AS hops FROM walk GROUP BY id""",
 }
-#: budget_greedy has no SQL: a sequential choice, tested by hand-computed cases.
 QUERIES = {f.__name__: f for f in (
     structured_filter, recent_entries, as_of_slice, tag_semi_join, entity_lookup, hydrated, library_stats, digest_groups, quality_summary,
     lineage_visible, consolidate_report, decay_view, composite_top, survival_curve, snapshot_diff, snapshot_changes, budget_prefix, budget_greedy, out_edges,
