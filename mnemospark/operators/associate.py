@@ -31,7 +31,7 @@ def candidates(asked: DataFrame, others: DataFrame, share: float) -> DataFrame:
         .select("id", F.explode(F.slice("x", F.lit(1), (F.col("n") - F.ceil(F.col("n") * share) + 1).cast("int"))).alias("x"))
         .select("id", F.col("x.token").alias("token"))
     )
-    return held.join(small(rare), "token").select("id", "other").where(F.col("id") != F.col("other")).distinct()
+    return held.join(small(cut(rare)), "token").select("id", "other").where(F.col("id") != F.col("other")).distinct()
 
 
 def decisions(entries: DataFrame, asked: DataFrame) -> DataFrame:
@@ -47,7 +47,7 @@ def decisions(entries: DataFrame, asked: DataFrame) -> DataFrame:
         "id", "status", "asserted_at", text.token_set(F.col("content")).alias("t"), text.fingerprint(F.col("content")).alias("f"))
     mine = cut(rows.join(small(asked), "id", "left_semi"))
     others = rows.where(F.col("status") == "active")
-    pairs = candidates(mine.where(F.size("t") > 0), others.where(F.size("t") > 0), LINK)
+    pairs = cut(candidates(mine.where(F.size("t") > 0), others.where(F.size("t") > 0), LINK))
     a = mine.select("id", "asserted_at", "t", "f")
     b = others.select(F.col("id").alias("other"), F.col("asserted_at").alias("at_b"), F.col("t").alias("u"), F.col("f").alias("g"))
     met = b.join(small(pairs), "other").join(small(a), "id").where(
@@ -92,4 +92,4 @@ def removed(entries: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[Data
     """(entries, edges) after the entries ``gone`` (id) are taken out, with every edge that ends in one."""
     left = entries.join(gone, "id", "left_anti")
     cut_off = edges.join(gone.select(F.col("id").alias("from_id")), "from_id", "left_anti")
-    return left, cut_off.join(gone.select(F.col("id").alias("to_id")), "to_id", "left_anti")
+    return left, cut_off.join(gone.select(F.col("id").alias("to_id")), "to_id", "left_anti").select(edges.columns)

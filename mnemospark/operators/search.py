@@ -35,21 +35,20 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score, matched) of every document with a term of the query.
 
     Only postings of asked terms are kept (semi join) before document
-    frequencies are counted; lengths come from the documents themselves.
+    frequencies are counted; lengths come from the documents themselves. What a
+    term adds to a document doesn't depend on the query, so it is computed once,
+    before the queries' terms meet it.
     """
     asked = cut(query_terms(queries))
-    sizes = cut(docs.select("doc_id", F.size(text.terms(F.col("text"))).alias("length")))
-    stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length"))
-    wanted = postings(docs).join(small(asked.select("term").distinct()), "term", "left_semi")
-    wanted = cut(wanted)
+    sizes = docs.select("doc_id", F.size(text.terms(F.col("text"))).alias("length"))
+    stats = sizes.agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_length")).first()
+    wanted = cut(postings(docs).join(small(asked.select("term").distinct()), "term", "left_semi"))
+    n_docs, average = F.lit(stats["n_docs"]), F.lit(float(stats["avg_length"] or 1.0))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.join(F.broadcast(stats)).select("term", idf.alias("idf"), "avg_length")
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    return (
-        wanted.join(sizes, "doc_id").join(small(weighted), "term").join(small(asked), "term")
-        .groupBy("query_id", "doc_id").agg(F.sum(F.col("idf") * tf).alias("score"), F.count("*").alias("matched"))
-    )
+    idf = df.select("term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / average))
+    scored = wanted.join(sizes, "doc_id").join(small(idf), "term").select("doc_id", "term", (F.col("idf") * tf).alias("s"))
+    return scored.join(small(asked), "term").groupBy("query_id", "doc_id").agg(F.sum("s").alias("score"), F.count("*").alias("matched"))
 
 
 def top(scored: DataFrame, n: int, score: str = "score") -> DataFrame:
@@ -110,19 +109,29 @@ def demoted(hits: DataFrame, entries: DataFrame, factor: float = 0.1, least: flo
     return out.withColumn("score", F.when(F.col("superseded"), F.col("score") * factor).otherwise(F.col("score")))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, floor: float = -1.0) -> DataFrame:
+#: Queries that meet all vectors in one pass.
+BLOCK = 5_000
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, floor: float = -1.0, block: int = BLOCK) -> DataFrame:
     """(query_id, doc_id, score, rank): the n vectors of highest cosine per query, the query's own row left out.
 
     ``vectors`` is (doc_id, v), ``queries`` (query_id, v). The stated queries are
-    met with all rows in blocks: each block of queries is small (counted) and
+    met with all rows in blocks of about ``block`` queries, hashed by id: a block
     goes to the rows, and the n best per partition are kept before the shuffle
-    by Spark's group limit.
+    by Spark's group limit. Exact, one pass of the vectors a block.
     """
     unit = vectors.select("doc_id", text.l2_normalised(F.col("v").cast("array<double>")).alias("v"))
     asked = queries.select("query_id", text.l2_normalised(F.col("v").cast("array<double>")).alias("q"))
-    pairs = unit.join(small(asked, 5_000), F.col("doc_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "doc_id", text.dot(F.col("v"), F.col("q")).alias("score"))
-    return top(scored.where(F.col("score") >= floor), n)
+    blocks = max(1, -(-queries.count() // block))
+    best = None
+    for b in range(blocks):
+        some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+        pairs = unit.join(small(some, 2 * block), F.col("doc_id") != F.col("query_id"))
+        scored = pairs.select("query_id", "doc_id", text.dot(F.col("v"), F.col("q")).alias("score"))
+        part = top(scored.where(F.col("score") >= floor), n)
+        best = part if best is None else best.unionByName(part)
+    return best
 
 
 def diversify(lam: float, pick: int):

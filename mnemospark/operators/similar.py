@@ -30,7 +30,7 @@ def structural_links(tags: DataFrame, entities: DataFrame, asked: DataFrame, mos
         entities.select(F.col("memory_id").alias("id"), F.concat(F.lit("e:"), F.lower(F.trim("entity"))).alias("item"), F.lit(2).alias("weight")))
     items = both.where(F.col("id").isNotNull() & F.col("item").isNotNull()).distinct()
     mine = items.join(small(asked), "id", "left_semi").select("id", "item")
-    shared = items.select(F.col("id").alias("other"), "item", "weight").join(small(mine, 200_000), "item").where(F.col("id") != F.col("other"))
+    shared = items.select(F.col("id").alias("other"), "item", "weight").join(small(mine), "item").where(F.col("id") != F.col("other"))
     scored = shared.groupBy("id", "other").agg(F.sum("weight").alias("score"))
     order = Window.partitionBy("id").orderBy(F.col("score").desc(), "other")
     return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most).select("id", "other", "score")

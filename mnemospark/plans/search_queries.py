@@ -28,13 +28,18 @@ def _lexical(spark: SparkSession, d: str) -> DataFrame:
     return search.bm25(_docs(spark, d).select("doc_id", "text"), _asked(spark, d)).withColumn("score", F.round("score", 6))
 
 
+def _best(spark: SparkSession, d: str, n: int) -> DataFrame:
+    """The n best of the lexical search."""
+    return search.top(_lexical(spark, d), n)
+
+
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return search.top(_lexical(spark, d), 10).select("query_id", "doc_id", "score", "rank")
+    return _best(spark, d, 10).select("query_id", "doc_id", "score", "rank")
 
 
 def bm25_filtered_after_window(spark: SparkSession, d: str) -> DataFrame:
     """Filters of kind apply to the best thirty, not before: a filter after a limit keeps its meaning."""
-    window = search.top(_lexical(spark, d), 30)
+    window = _best(spark, d, 30)
     kinds = _docs(spark, d).where(F.col("kind").isin("lesson", "decision")).select("doc_id")
     return window.join(kinds, "doc_id", "left_semi").select("query_id", "doc_id", "rank")
 
@@ -56,7 +61,7 @@ def _entity_channel(spark: SparkSession, d: str, seeds: DataFrame) -> DataFrame:
 
 def _window(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(the thirty best by words, the five best of them): ranked once."""
-    window = cut(search.top(_lexical(spark, d), 30).select("query_id", "doc_id", "score", "rank"))
+    window = cut(_best(spark, d, 30).select("query_id", "doc_id", "score", "rank"))
     return window, window.where(F.col("rank") <= 5)
 
 
@@ -113,13 +118,13 @@ def paired_significance(spark: SparkSession, d: str) -> DataFrame:
 
 def mmr_rerank(spark: SparkSession, d: str) -> DataFrame:
     """Eight diverse results of the forty best per query."""
-    best = search.top(_lexical(spark, d), 40).select("query_id", "doc_id", "score")
+    best = _best(spark, d, 40).select("query_id", "doc_id", "score")
     return search.mmr(best.join(_docs(spark, d).select("doc_id", text.token_set(F.col("text")).alias("terms")), "doc_id"))
 
 
 def answer_within_budget(spark: SparkSession, d: str) -> DataFrame:
     """Of each query's twenty best those that fit 300 tokens, passing over what doesn't."""
-    best = search.top(_lexical(spark, d), 20).join(
+    best = _best(spark, d, 20).join(
         _docs(spark, d).select("doc_id", (text.estimated_tokens(F.col("text")) + 8).alias("cost")), "doc_id")
     arrays = best.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "cost"))).alias("items"))
     return arrays.select("query_id", F.explode(store.greedy_fill(F.col("items"), "cost", 300)).alias("x")).select(
@@ -127,7 +132,7 @@ def answer_within_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def abstain_flags(spark: SparkSession, d: str) -> DataFrame:
-    best = search.top(_lexical(spark, d), 5).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
+    best = _best(spark, d, 5).join(_docs(spark, d).select("doc_id", "text"), "doc_id")
     return search.abstains(best.select("query_id", "text"), _asked(spark, d))
 
 
@@ -135,7 +140,7 @@ def retrieval_measures(spark: SparkSession, d: str) -> DataFrame:
     """Recall, reciprocal rank, nDCG and hits at ten of the lexical search, per type of case."""
     cases = table(spark, d, "eval_cases")
     gold = cases.select(F.col("case_id").alias("query_id"), F.explode(F.array_distinct("expect")).alias("doc_id"))
-    per = evaluate.ranking_measures(search.top(_lexical(spark, d), 10), gold, 10)
+    per = evaluate.ranking_measures(_best(spark, d, 10), gold, 10)
     return per.join(cases.select(F.col("case_id").alias("query_id"), "type"), "query_id").groupBy("type").agg(
         F.count("*").alias("n"), *[F.round(F.avg(F.col(c).cast("double")), 6).alias(c) for c in ("recall", "rr", "ndcg", "hit")])
 
@@ -143,7 +148,7 @@ def retrieval_measures(spark: SparkSession, d: str) -> DataFrame:
 def recall_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Bootstrap interval of the lexical search's recall at ten over the queries: the 2.5 %, 50 % and 97.5 % points."""
     gold = table(spark, d, "eval_cases").select(F.col("case_id").alias("query_id"), F.explode(F.array_distinct("expect")).alias("doc_id"))
-    per = evaluate.ranking_measures(search.top(_lexical(spark, d), 10), gold, 10)
+    per = evaluate.ranking_measures(_best(spark, d, 10), gold, 10)
     return evaluate.interval(evaluate.bootstrap(cut(per.select("query_id", "recall")), "recall", "query_id", 200))
 
 
