@@ -6,12 +6,12 @@ counted before it is broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-from ..session import small
+from ..session import cut, small
 
 
 #: What a text says that revises an earlier one; fixed values.
@@ -24,14 +24,45 @@ def hundredth(id_: str):
     return F.pmod(F.conv(F.substring(id_, 2, 10), 16, 10).cast("long"), F.lit(100)) == 0
 
 
-def structural_links(tags: DataFrame, entities: DataFrame, asked: DataFrame, most: int = 3) -> DataFrame:
-    """(id, other, score): per asked entry (id) the entries that share most; an entity counts 2, a tag 1, ties by id."""
+def structural_links(tags: DataFrame, entities: DataFrame, asked: DataFrame, most: int = 3, hot: float = 0.02) -> DataFrame:
+    """(id, other, score): per asked entry (id) the entries that share most; an entity counts 2, a tag 1, ties by id.
+
+    Exact whatever the skew. Pairs are made from the lists of items that at most
+    a share ``hot`` of the entries hold, and scored over all items. An entry that
+    shares hot items only is told by its set of hot items: of each such set the
+    first ids are enough, since all members score alike and ties go by id. So a
+    hot item's list never meets the asked entries. Null ids and items are left
+    out; repeated rows count once.
+    """
     both = tags.select(F.col("memory_id").alias("id"), F.concat(F.lit("t:"), F.lower(F.trim("tag"))).alias("item"), F.lit(1).alias("weight")).unionByName(
         entities.select(F.col("memory_id").alias("id"), F.concat(F.lit("e:"), F.lower(F.trim("entity"))).alias("item"), F.lit(2).alias("weight")))
-    items = both.where(F.col("id").isNotNull() & F.col("item").isNotNull()).distinct()
-    mine = items.join(small(asked), "id", "left_semi").select("id", "item")
-    shared = items.select(F.col("id").alias("other"), "item", "weight").join(small(mine), "item").where(F.col("id") != F.col("other"))
-    scored = shared.groupBy("id", "other").agg(F.sum("weight").alias("score"))
+    items = cut(both.where(F.col("id").isNotNull() & F.col("item").isNotNull()).distinct())
+    bound = items.select("id").distinct().count() * hot
+    hot_items = small(items.groupBy("item").agg(F.count("*").alias("n")).where(F.col("n") > bound).select("item", F.lit(True).alias("hot")))
+    marked = items.join(hot_items, "item", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    mine = cut(marked.join(small(asked), "id", "left_semi"))
+    rare = marked.where(~F.col("hot")).select(F.col("id").alias("other"), "item", "weight").join(
+        small(mine.where(~F.col("hot")).select("id", "item")), "item").where(F.col("id") != F.col("other"))
+    rare = rare.groupBy("id", "other").agg(F.sum("weight").alias("rare"))
+
+    # of the pairs with a rare item the hot ones count too; both sides carry them as a short list
+    hot_set = F.array_sort(F.collect_list(F.when(F.col("hot"), F.struct("item", "weight"))))
+    sets = cut(marked.groupBy("id").agg(hot_set.alias("s")).where(F.size("s") > 0))
+    asked_sets = sets.join(small(mine.select("id").distinct()), "id", "left_semi")
+    common = F.aggregate(F.array_intersect("s", "u"), F.lit(0).cast("long"), lambda n, x: n + x["weight"])
+    met = rare.join(asked_sets, "id", "left").join(sets.select(F.col("id").alias("other"), F.col("s").alias("u")), "other", "left")
+    near = met.select("id", "other", (F.col("rare") + F.coalesce(common, F.lit(0))).alias("score"))
+
+    first = F.row_number().over(Window.partitionBy("s").orderBy("id"))
+    heads = sets.withColumn("k", first).where(F.col("k") <= most + 1).select(F.col("id").alias("other"), F.col("s").alias("u"))
+    kinds = asked_sets.select("s").distinct()
+    by_item = kinds.select("s", F.explode("s.item").alias("item"))
+    meet = heads.select("other", "u", F.explode("u.item").alias("item")).join(small(by_item), "item").select("s", "other", "u").distinct()
+    place = F.row_number().over(Window.partitionBy("s").orderBy(F.col("score").desc(), "other"))
+    best = meet.select("s", "other", common.alias("score")).withColumn("k", place).where(F.col("k") <= most + 1)
+    far = asked_sets.join(best.drop("k"), "s").where(F.col("id") != F.col("other")).select("id", "other", "score")
+
+    scored = near.unionByName(far).groupBy("id", "other").agg(F.max("score").alias("score"))
     order = Window.partitionBy("id").orderBy(F.col("score").desc(), "other")
     return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most).select("id", "other", "score")
 
@@ -40,14 +71,48 @@ def superseded(entries: DataFrame, asked: DataFrame, least: float = 0.5, marked:
     """(id, newer, overlap): per asked entry the newer one of the same kind and project whose terms overlap most.
 
     An overlap of ``marked`` is enough if the newer text holds a revision marker;
-    None leaves that tier out. Ties go to the later, then to the smaller id.
+    None leaves that tier out. Ties go to the later, then to the smaller id. An
+    entry has one row per id; whole repeats count once, and one without kind,
+    text or time has no partner.
+
+    Candidates come from lists of (kind, project, token), not from all pairs of a
+    project. The overlap is counted against the smaller set, of whose n tokens
+    ceil(share * n) must be met, so one of its n - ceil(share * n) + 1 rarest
+    stands in the other: either the asked entry's rarest tokens or the newer
+    one's are looked up, never the frequent ones.
     """
-    rows = entries.where(F.col("content").isNotNull() & F.col("valid_at").isNotNull()).select(
-        "id", "kind", F.coalesce("project", F.lit("")).alias("project"), "valid_at", text.token_set(F.col("content")).alias("t"),
-        F.col("content").rlike(f"(?i){REVISION_MARKERS}").alias("revises"))
-    mine = rows.drop("revises").join(small(asked), "id", "left_semi")
-    newer = rows.select(F.col("id").alias("newer"), "kind", "project", F.col("valid_at").alias("at"), F.col("t").alias("u"), "revises")
-    met = newer.join(small(mine), ["kind", "project"]).where(F.col("at") > F.col("valid_at"))
+    rows = cut(entries.where(F.col("content").isNotNull() & F.col("valid_at").isNotNull()).select(
+        "id", "kind", F.coalesce("project", F.lit("")).alias("project"), "valid_at",
+        text.token_set(F.col("content")).alias("t"), F.col("content").rlike(f"(?i){REVISION_MARKERS}").alias("revises")).distinct())
+    key = ["kind", "project", "token"]
+    mine = rows.join(small(asked), "id", "left_semi")
+    wanted = cut(mine.select("id", "kind", "project", "valid_at", F.size("t").alias("n"), F.explode("t").alias("token")))
+    held = rows.select(F.col("id").alias("newer"), "kind", "project", F.col("valid_at").alias("at"), "revises",
+                       F.size("t").alias("m"), F.explode("t").alias("token"))
+    # only lists of tokens that an asked entry holds can give a pair; a token no list has is rarest of all
+    held = cut(held.join(small(wanted.select(*key).distinct()), key, "left_semi"))
+    df = held.groupBy(*key).agg(F.count("*").alias("df"))
+
+    def rarest(tokens: DataFrame, who: str, size: str, keep: list[str], share: Column) -> DataFrame:
+        """The tokens among the rarest n - ceil(share * n) + 1; those without a list come first, so that ``size`` less the listed ones are used up."""
+        order = Window.partitionBy(who).orderBy("df", "token")
+        listed = F.count("*").over(Window.partitionBy(who))
+        place = F.row_number().over(order) + F.col(size) - listed
+        needed = F.ceil(F.col(size) * (share - 5e-7))
+        return tokens.join(df, key).withColumn("place", place).where(F.col("place") <= F.col(size) - needed + 1).select(*keep, *key, "place")
+
+    low = least if marked is None else min(least, marked)
+    a = rarest(wanted, "id", "n", ["id", "valid_at", "n"], F.lit(low))
+    strict = F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least - 5e-7)) + 1
+    later = F.col("at") > F.col("valid_at")
+    one = held.select("newer", *key, "at", "revises").join(small(cut(a)), key).where(later & (strict | F.col("revises"))).select("id", "newer")
+    share = F.when(F.col("revises"), low).otherwise(least)
+    b = rarest(held, "newer", "m", ["newer", "at"], share)
+    two = b.join(small(wanted.select("id", "valid_at", *key)), key).where(later).select("id", "newer")
+    pairs = cut(one.unionByName(two).distinct())
+
+    right = rows.select(F.col("id").alias("newer"), F.col("valid_at").alias("at"), F.col("t").alias("u"), "revises")
+    met = right.join(small(pairs), "newer").join(small(cut(mine.select("id", "t"))), "id")
     scored = met.select("id", "newer", "at", "revises", F.round(text.overlap(F.col("t"), F.col("u")), 6).alias("overlap"))
     enough = F.col("overlap") >= least
     if marked is not None:
