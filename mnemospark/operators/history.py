@@ -156,28 +156,39 @@ def version_view(rows: DataFrame, key: str) -> DataFrame:
     return ends.where(F.col("changes") > 0).select(key, F.col("load_date").alias("version_from"), "version_to")
 
 
-def satellite_delta(current: DataFrame, batch: DataFrame, key: str, satellites: dict[str, list[str]]) -> DataFrame:
-    """Rows to append for one newly arrived snapshot.
-
-    ``current`` has the last row of each key and satellite so far, ``batch`` the
-    normalised rows of one date (columns key, snap_date and attributes). Only
-    hashes are compared; nothing that was loaded is read again. Presence is
-    handled by the caller, who knows the previous snapshot's keys.
+def satellite_delta(current: DataFrame, batch: DataFrame, key: str, satellites: dict[str, list[str]], day: str) -> DataFrame:
+    """Rows to append for one newly arrived snapshot, that of the date ``day`` (YYYY-MM-DD).
+
+    ``current`` has the last row (key, satellite, hash_diff) of each key and
+    satellite so far, presence included; ``batch`` the normalised rows of the
+    date, one a key, and may be empty. Only hashes are compared; nothing that was
+    loaded is read again. A key that is present and not in the batch vanishes
+    (presence 0); one that is in the batch and wasn't present appears (presence
+    1, and a row for each satellite, changed or not). Appending the deltas of all
+    dates in order gives what ``satellite_rows`` gives at once.
     """
-    last = current.select(key, "satellite", F.col("hash_diff").alias("known"))
-    rows = batch.select(
-        key,
-        F.explode(F.array(*[
-            F.struct(
-                F.lit(name).alias("satellite"), F.col("snap_date").alias("load_date"),
-                hash_diff(columns).alias("hash_diff"),
-                F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))]).alias("attributes"),
-            )
-            for name, columns in satellites.items()
-        ])).alias("row"),
-    ).select(key, "row.*")
-    joined = rows.join(last, [key, "satellite"], "left")
-    return joined.where(F.col("known").isNull() | (F.col("known") != F.col("hash_diff"))).drop("known")
+    date = F.lit(day).cast("date")
+    none = F.create_map().cast("map<string,string>")
+    known = current.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("satellite", "hash_diff"))).alias("known"))
+    both = batch.withColumn("here", F.lit(True)).join(known, key, "full")
+    was = F.coalesce(F.col("known")["presence"] == 1, F.lit(False))
+    here = F.coalesce("here", F.lit(False))
+    parts = []
+    for name, columns in satellites.items():
+        value = hash_diff(columns)
+        changed = here & (~was | F.coalesce(F.col("known")[name] != value, F.lit(True)))
+        parts.append(F.when(changed, F.struct(
+            F.lit(name).alias("satellite"), date.alias("load_date"), value.alias("hash_diff"),
+            F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c))]).alias("attributes"))))
+    parts += [F.when(flag, F.struct(F.lit("presence").alias("satellite"), date.alias("load_date"),
+                                    F.lit(value).cast("long").alias("hash_diff"), none.alias("attributes")))
+              for flag, value in ((here & ~was, 1), (was & ~here, 0))]
+    return both.select(key, F.explode(F.array_compact(F.array(*parts))).alias("row")).select(key, "row.*")
+
+
+def last_rows(rows: DataFrame, key: str) -> DataFrame:
+    """(key, satellite, hash_diff): the latest row of each, what ``satellite_delta`` compares with."""
+    return rows.groupBy(key, "satellite").agg(F.max(F.struct("load_date", "hash_diff"))["hash_diff"].alias("hash_diff"))
 
 
 def memory_satellites(raw: DataFrame) -> DataFrame:

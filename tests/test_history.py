@@ -55,15 +55,27 @@ def test_empty_table(spark):
 
 
 def test_delta_appends_only_changes(spark):
-    attributes = {k: v for k, v in history.SATELLITES.items()}
-    first = history.normalise_snapshots(spark.createDataFrame([row("a", 0), row("b", 0)], SCHEMA)).drop("loaded_at")
+    first = history.normalise_snapshots(spark.createDataFrame([row("a", 0), row("b", 0), row("d", 0)], SCHEMA)).drop("loaded_at")
     none = spark.createDataFrame([], "memory_id string, satellite string, hash_diff long")
-    start = history.satellite_delta(none, first, "memory_id", attributes)
-    assert start.count() == 6
+    start = history.satellite_delta(none, first, "memory_id", history.SATELLITES, "2026-01-05")
+    assert start.count() == 12
     second = history.normalise_snapshots(spark.createDataFrame([row("a", 1, "expired"), row("b", 1), row("c", 1)], SCHEMA)).drop("loaded_at")
-    new = history.satellite_delta(start, second, "memory_id", attributes)
-    assert sorted((r.memory_id, r.satellite) for r in new.collect()) == [
-        ("a", "state"), ("c", "origin"), ("c", "state"), ("c", "validity")]
+    new = history.satellite_delta(start, second, "memory_id", history.SATELLITES, "2026-01-12")
+    assert sorted((r.memory_id, r.satellite, r.hash_diff if r.satellite == "presence" else None) for r in new.collect()) == [
+        ("a", "state", None), ("c", "origin", None), ("c", "presence", 1), ("c", "state", None), ("c", "validity", None), ("d", "presence", 0)]
+    assert history.satellite_delta(none, first.limit(0), "memory_id", history.SATELLITES, "2026-01-05").count() == 0
+
+
+def test_deltas_of_all_dates_give_the_whole(spark):
+    rows = [row("a", 0), row("a", 1), row("a", 3), row("a", 4, "expired"), row("b", 1, merged='["x"]'), row("b", 2), row("c", 4), row("d", 0), row("d", 4)]
+    raw = spark.createDataFrame(rows, SCHEMA)
+    want = sorted((r.memory_id, r.satellite, str(r.load_date), r.hash_diff) for r in history.memory_satellites(raw).collect())
+    so_far = spark.createDataFrame([], "memory_id string, satellite string, load_date date, hash_diff long, attributes map<string,string>")
+    for d in DAYS:
+        batch = history.normalise_snapshots(raw.where(F.col("snap_date") == F.lit(d))).drop("loaded_at")
+        new = history.satellite_delta(history.last_rows(so_far, "memory_id"), batch, "memory_id", history.SATELLITES, str(d))
+        so_far = spark.createDataFrame(so_far.unionByName(new).collect(), so_far.schema)
+    assert sorted((r.memory_id, r.satellite, str(r.load_date), r.hash_diff) for r in so_far.collect()) == want
 
 
 @pytest.mark.parametrize("seed", [1, 2])
