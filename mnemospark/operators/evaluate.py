@@ -23,15 +23,19 @@ def ranking_measures(ranked: DataFrame, gold: DataFrame, k: int) -> DataFrame:
         F.coalesce(F.col("dcg") / ideal, zero).alias("ndcg"), F.col("n").isNotNull().alias("hit"))
 
 
+def _poisson(round_: str, unit: str) -> Column:
+    """A weight of 0 to 3 with the chances of Poisson(1), from a hash of round and unit."""
+    point = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", round_, unit)), 1, 8), 16, 10).cast("long"), F.lit(10_000))
+    return F.when(point < 3679, 0).when(point < 7358, 1).when(point < 9197, 2).otherwise(3)
+
+
 def bootstrap(values: DataFrame, value: str, unit: str, rounds: int = 200) -> DataFrame:
     """Per round the mean over units drawn with Poisson(1) weights from a hash of (round, unit): no collect, any size.
 
     The weight is 0, 1, 2 or 3 with the Poisson chances; it depends on the ids alone, so rounds repeat exactly.
     """
     draws = values.select(F.col(value).alias("x"), F.col(unit).alias("u"), F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    point = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "round", "u")), 1, 8), 16, 10).cast("long"), F.lit(10_000))
-    weight = F.when(point < 3679, 0).when(point < 7358, 1).when(point < 9197, 2).otherwise(3)
-    return draws.withColumn("w", weight).groupBy("round").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
+    return draws.withColumn("w", _poisson("round", "u")).groupBy("round").agg((F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("mean"))
 
 
 def interval(means: DataFrame) -> DataFrame:
@@ -40,6 +44,22 @@ def interval(means: DataFrame) -> DataFrame:
     return means.select(F.round("mean", 6).alias("mean")).agg(*at)
 
 
+def cluster_bootstrap(rows: DataFrame, cluster: str, actual: Column, predicted: Column, rounds: int = 200) -> DataFrame:
+    """One row with the 2.5 % and 97.5 % points of recall and false-positive rate when whole clusters are drawn.
+
+    Each cluster's rows are counted first; a round weighs clusters as ``bootstrap``
+    weighs units. A round without a positive (negative) row has no recall (rate).
+    """
+    a, p = F.coalesce(actual, F.lit(False)), F.coalesce(predicted, F.lit(False))
+    counts = rows.groupBy(F.coalesce(F.col(cluster), F.lit("")).alias("u")).agg(
+        F.count_if(a & p).alias("tp"), F.count_if(a).alias("pos"), F.count_if(~a & p).alias("fp"), F.count_if(~a).alias("neg"))
+    draws = counts.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).withColumn("w", _poisson("round", "u"))
+    per = draws.groupBy("round").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in ("tp", "pos", "fp", "neg")]).select(
+        F.round(F.try_divide("tp", "pos"), 6).alias("recall"), F.round(F.try_divide("fp", "neg"), 6).alias("fpr"))
+    return per.agg(*[F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {c})").alias(f"{c}_{end}")
+                     for c in ("recall", "fpr") for q, end in ((0.025, "low"), (0.975, "high"))])
+
+
 def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """One row (b01, b10, p_value) of two systems' successes on the same cases: the exact two-sided binomial test.
 

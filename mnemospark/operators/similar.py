@@ -67,28 +67,27 @@ def structural_links(tags: DataFrame, entities: DataFrame, asked: DataFrame, mos
     return scored.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= most).select("id", "other", "score")
 
 
-def superseded(entries: DataFrame, asked: DataFrame, least: float = 0.5, marked: float | None = 0.35) -> DataFrame:
-    """(id, newer, overlap): per asked entry the newer one of the same kind and project whose terms overlap most.
+def later_overlaps(entries: DataFrame, asked: DataFrame, groups: list[str], least: float, marked: float | None = None, gap_seconds: int = 0) -> DataFrame:
+    """(id, newer, at, overlap): per asked entry each later one with equal ``groups`` whose terms overlap by ``least``.
 
-    An overlap of ``marked`` is enough if the newer text holds a revision marker;
-    None leaves that tier out. Ties go to the later, then to the smaller id. An
-    entry has one row per id; whole repeats count once, and one without kind,
-    text or time has no partner.
+    ``entries`` is (id, groups, at, content); later means by more than
+    ``gap_seconds``, or by any time where that is 0. An overlap of ``marked`` is
+    enough if the newer text holds a revision marker. An entry has one row per
+    id; whole repeats count once, and one without group, text or time has no
+    partner.
 
-    Candidates come from lists of (kind, project, token), not from all pairs of a
-    project. The overlap is counted against the smaller set, of whose n tokens
+    Candidates come from lists of (groups, token), not from all pairs of a
+    group. The overlap is counted against the smaller set, of whose n tokens
     ceil(share * n) must be met, so one of its n - ceil(share * n) + 1 rarest
     stands in the other: either the asked entry's rarest tokens or the newer
     one's are looked up, never the frequent ones.
     """
-    rows = cut(entries.where(F.col("content").isNotNull() & F.col("valid_at").isNotNull()).select(
-        "id", "kind", F.coalesce("project", F.lit("")).alias("project"), "valid_at",
-        text.token_set(F.col("content")).alias("t"), F.col("content").rlike(f"(?i){REVISION_MARKERS}").alias("revises")).distinct())
-    key = ["kind", "project", "token"]
-    mine = rows.join(small(asked), "id", "left_semi")
-    wanted = cut(mine.select("id", "kind", "project", "valid_at", F.size("t").alias("n"), F.explode("t").alias("token")))
-    held = rows.select(F.col("id").alias("newer"), "kind", "project", F.col("valid_at").alias("at"), "revises",
-                       F.size("t").alias("m"), F.explode("t").alias("token"))
+    rows = cut(entries.where(F.col("content").isNotNull() & F.col("at").isNotNull()).select(
+        "id", *groups, "at", text.token_set(F.col("content")).alias("t"), F.col("content").rlike(f"(?i){REVISION_MARKERS}").alias("revises")).distinct())
+    key = [*groups, "token"]
+    mine = rows.join(small(asked), "id", "left_semi").withColumnRenamed("at", "since")
+    wanted = cut(mine.select("id", *groups, "since", F.size("t").alias("n"), F.explode("t").alias("token")))
+    held = rows.select(F.col("id").alias("newer"), *groups, "at", "revises", F.size("t").alias("m"), F.explode("t").alias("token"))
     # only lists of tokens that an asked entry holds can give a pair; a token no list has is rarest of all
     held = cut(held.join(small(wanted.select(*key).distinct()), key, "left_semi"))
     df = held.groupBy(*key).agg(F.count("*").alias("df"))
@@ -102,20 +101,44 @@ def superseded(entries: DataFrame, asked: DataFrame, least: float = 0.5, marked:
         return tokens.join(df, key).withColumn("place", place).where(F.col("place") <= F.col(size) - needed + 1).select(*keep, *key, "place")
 
     low = least if marked is None else min(least, marked)
-    a = rarest(wanted, "id", "n", ["id", "valid_at", "n"], F.lit(low))
+    later = F.unix_micros("at") - F.unix_micros("since") >= max(1, gap_seconds * 1_000_000)
+    a = rarest(wanted, "id", "n", ["id", "since", "n"], F.lit(low))
     strict = F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least - 5e-7)) + 1
-    later = F.col("at") > F.col("valid_at")
     one = held.select("newer", *key, "at", "revises").join(small(cut(a)), key).where(later & (strict | F.col("revises"))).select("id", "newer")
-    share = F.when(F.col("revises"), low).otherwise(least)
-    b = rarest(held, "newer", "m", ["newer", "at"], share)
-    two = b.join(small(wanted.select("id", "valid_at", *key)), key).where(later).select("id", "newer")
+    b = rarest(held, "newer", "m", ["newer", "at"], F.when(F.col("revises"), low).otherwise(least))
+    two = b.join(small(wanted.select("id", "since", *key)), key).where(later).select("id", "newer")
     pairs = cut(one.unionByName(two).distinct())
 
-    right = rows.select(F.col("id").alias("newer"), F.col("valid_at").alias("at"), F.col("t").alias("u"), "revises")
+    right = rows.select(F.col("id").alias("newer"), "at", F.col("t").alias("u"), "revises")
     met = right.join(small(pairs), "newer").join(small(cut(mine.select("id", "t"))), "id")
     scored = met.select("id", "newer", "at", "revises", F.round(text.overlap(F.col("t"), F.col("u")), 6).alias("overlap"))
     enough = F.col("overlap") >= least
     if marked is not None:
         enough = enough | (F.col("revises") & (F.col("overlap") >= marked))
+    return scored.where(enough).drop("revises")
+
+
+def superseded(entries: DataFrame, asked: DataFrame, least: float = 0.5, marked: float | None = 0.35) -> DataFrame:
+    """(id, newer, overlap): per asked entry the newer one of the same kind and project whose terms overlap most.
+
+    An overlap of ``marked`` is enough if the newer text holds a revision marker;
+    None leaves that tier out. Ties go to the later, then to the smaller id. A
+    null project is a project of its own; an entry without kind has no partner.
+    """
+    rows = entries.select("id", "kind", F.coalesce("project", F.lit("")).alias("project"), F.col("valid_at").alias("at"), "content")
     order = Window.partitionBy("id").orderBy(F.col("overlap").desc(), F.col("at").desc(), "newer")
-    return scored.where(enough).withColumn("pos", F.row_number().over(order)).where(F.col("pos") == 1).select("id", "newer", "overlap")
+    return later_overlaps(rows, asked, ["kind", "project"], least, marked).withColumn("pos", F.row_number().over(order)).where(
+        F.col("pos") == 1).select("id", "newer", "overlap")
+
+
+def first_later(entries: DataFrame, asked: DataFrame, least: float = 0.3, gap_seconds: int = 60) -> DataFrame:
+    """(id, newer, overlap, days): per asked entry the first of its project, a minute or more later, that overlaps by ``least``.
+
+    Of equal times the smaller id is taken; ``days`` is the time between.
+    """
+    rows = entries.select("id", F.coalesce("project", F.lit("")).alias("project"), F.col("asserted_at").alias("at"), "content")
+    met = later_overlaps(rows, asked, ["project"], least, gap_seconds=gap_seconds)
+    first = met.groupBy("id").agg(F.min(F.struct("at", "newer", "overlap")).alias("m"))
+    since = rows.select("id", F.col("at").alias("since")).distinct()
+    days = (F.unix_micros("m.at") - F.unix_micros("since")) / 86_400_000_000
+    return since.join(small(first), "id").select("id", "m.newer", "m.overlap", F.round(days, 4).alias("days"))

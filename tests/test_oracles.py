@@ -3,9 +3,9 @@
 import pytest
 from compare import canonical, oracle
 
-from mnemospark.plans import association_queries, history_queries, ledger_queries, link_queries, search_queries, store_queries, text_queries
+from mnemospark.plans import association_queries, history_queries, interval_queries, ledger_queries, link_queries, search_queries, store_queries, text_queries
 
-MODULES = (history_queries, store_queries, text_queries, ledger_queries, link_queries, search_queries, association_queries)
+MODULES = (history_queries, store_queries, text_queries, ledger_queries, link_queries, search_queries, association_queries, interval_queries)
 SMALLEST = "/root/testdata/sf0.001"
 
 
