@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -140,3 +142,36 @@ def fnv1a32(text: Column) -> Column:
         F.filter(F.split(text, ""), lambda c: c != ""), F.lit(2166136261).cast("long"),
         lambda h, c: F.pmod(h.bitwiseXOR(F.ascii(c).cast("long")) * F.lit(16777619), F.lit(4294967296)),
     )
+
+
+#: Length of a hashed vector, and the weights of a word and of a Chinese bigram; fixed values.
+SLOTS, WORD_WEIGHT, BIGRAM_WEIGHT = 256, 1.0, 0.5
+
+
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _hashed(words_: pd.Series, runs: pd.Series) -> pd.Series:
+    """Sums of the weights of words and of the pairs in Chinese runs by slot, the token's 32-bit FNV-1a over UTF-16 units.
+
+    Spark can't run a Python function over an argument with a lambda, so pairs are cut here.
+    """
+    slots: dict[str, int] = {}
+
+    def slot(token: str) -> int:
+        if token not in slots:
+            h = 2166136261
+            for unit in np.frombuffer(token.encode("utf-16-le", "surrogatepass"), "<u2").tolist():
+                h = ((h ^ unit) * 16777619) & 0xFFFFFFFF
+            slots[token] = h % SLOTS
+        return slots[token]
+
+    def vector(a: Iterable[str], b: Iterable[str]) -> np.ndarray:
+        at = [slot(t) for t in a], [slot(r[i:i + 2]) for r in b for i in range(max(len(r) - 1, 1))]
+        return WORD_WEIGHT * np.bincount(np.array(at[0], dtype=int), minlength=SLOTS) + BIGRAM_WEIGHT * np.bincount(np.array(at[1], dtype=int), minlength=SLOTS)
+
+    return pd.Series([vector(a, b) for a, b in zip(words_, runs)], dtype=object)
+
+
+def hashed_vector(text: Column) -> Column:
+    """A text as a vector of hashed words and Chinese bigrams, not normalised; the zero vector without any."""
+    safe = F.coalesce(text, F.lit(""))
+    return _hashed(words(safe), F.regexp_extract_all(safe, F.lit(f"({HAN}+)"), F.lit(1)))

@@ -7,6 +7,9 @@ so its cost follows the postings of the terms asked for.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,29 +112,78 @@ def demoted(hits: DataFrame, entries: DataFrame, factor: float = 0.1, least: flo
     return out.withColumn("score", F.when(F.col("superseded"), F.col("score") * factor).otherwise(F.col("score")))
 
 
-#: Queries that meet all vectors in one pass.
+#: Queries that meet all vectors in one pass; a block goes to the tasks as a matrix.
 BLOCK = 5_000
+#: Cells of the score matrix a task holds at once.
+CELLS = 4_000_000
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int, floor: float = -1.0, block: int = BLOCK) -> DataFrame:
-    """(query_id, doc_id, score, rank): the n vectors of highest cosine per query, the query's own row left out.
+def unit_rows(vectors: list) -> np.ndarray:
+    """Vectors of one length as the rows of a matrix, at length 1; zero vectors stay."""
+    m = np.array([np.asarray(v, dtype=float) for v in vectors])
+    norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, norm, out=m, where=norm > 0)
+
+
+def best_of_batches(asked: dict[int, tuple[list, np.ndarray]], n: int, floor: float):
+    """Per batch of (doc_id, v) each query's n + 1 best documents; of a document's vectors the best counts.
+
+    ``asked`` has for each vector length the queries' ids and unit matrix. A
+    document that is among the n best of all is so in the batch that holds its
+    best vector. Scores are rounded to 12 places, so that equal vectors tie.
+    """
 
-    ``vectors`` is (doc_id, v), ``queries`` (query_id, v). The stated queries are
-    met with all rows in blocks of about ``block`` queries, hashed by id: a block
-    goes to the rows, and the n best per partition are kept before the shuffle
-    by Spark's group limit. Exact, one pass of the vectors a block.
+    def part(docs: pd.Series, vectors: list, ids: list, q: np.ndarray) -> pd.DataFrame:
+        scores = np.nan_to_num(np.round(unit_rows(vectors) @ q.T, 12), nan=-np.inf)
+        codes, names = pd.factorize(docs)
+        order = np.argsort(codes, kind="stable")
+        scores = np.maximum.reduceat(scores[order], np.flatnonzero(np.diff(codes[order], prepend=-1)), axis=0)
+        k = min(n + 1, len(names))
+        edge = np.maximum(np.partition(scores, len(names) - k, axis=0)[len(names) - k], floor)
+        row, col = np.nonzero((scores >= edge) & np.isfinite(scores))
+        out = pd.DataFrame({"query_id": np.array(ids, dtype=object)[col], "doc_id": np.array(names, dtype=object)[row], "score": scores[row, col], "q": col})
+        return out.sort_values(["q", "score", "doc_id"], ascending=[True, False, True]).groupby("q").head(n + 1)[["query_id", "doc_id", "score"]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lengths = b["v"].map(len, na_action="ignore")
+            for length, (ids, q) in asked.items():
+                rows = b[lengths == length]
+                step = max(1, CELLS // len(ids))
+                for i in range(0, len(rows), step):
+                    some = rows.iloc[i:i + step]
+                    yield part(some["doc_id"], some["v"].tolist(), ids, q)
+
+    return run
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int, floor: float = -1.0, block: int = BLOCK) -> DataFrame:
+    """(query_id, doc_id, score, rank): the n documents of highest cosine per query, the query's own id left out.
+
+    ``vectors`` is (doc_id, v), ``queries`` (query_id, v). A document may have
+    several vectors; its best one counts, and repeated rows count once. Null
+    ids, null vectors and vectors of another length than the query's have no
+    score; ties go by doc_id. The stated queries are met with all rows in blocks
+    of about ``block`` queries, hashed by id: a block goes to the tasks as a
+    matrix, and only the n best per batch are shuffled. Exact, one pass of the
+    vectors a block.
     """
-    unit = vectors.select("doc_id", text.l2_normalised(F.col("v").cast("array<double>")).alias("v"))
-    asked = queries.select("query_id", text.l2_normalised(F.col("v").cast("array<double>")).alias("q"))
-    blocks = max(1, -(-queries.count() // block))
-    best = None
+    kinds = {**dict(vectors.dtypes), **dict(queries.dtypes)}
+    schema = f"query_id {kinds['query_id']}, doc_id {kinds['doc_id']}, score double"
+    # null vectors are left to the tasks: Spark can't filter by a vector that a Python function makes
+    known = vectors.where(F.col("doc_id").isNotNull()).select("doc_id", F.col("v").cast("array<double>").alias("v"))
+    asked = queries.where(F.col("query_id").isNotNull()).select("query_id", F.col("v").cast("array<double>").alias("v"))
+    blocks = max(1, -(-asked.count() // block))
+    best = known.sparkSession.createDataFrame([], schema)
     for b in range(blocks):
         some = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        pairs = unit.join(small(some, 2 * block), F.col("doc_id") != F.col("query_id"))
-        scored = pairs.select("query_id", "doc_id", text.dot(F.col("v"), F.col("q")).alias("score"))
-        part = top(scored.where(F.col("score") >= floor), n)
-        best = part if best is None else best.unionByName(part)
-    return best
+        by_length: dict[int, dict] = {}
+        for r in some.collect():  # one block
+            by_length.setdefault(len(r["v"] or ()), {})[r["query_id"]] = r["v"]
+        matrices = {k: (list(rows), unit_rows(list(rows.values()))) for k, rows in by_length.items() if k}
+        best = best.unionByName(known.mapInPandas(best_of_batches(matrices, n, floor), schema))
+    met = best.where(F.col("doc_id").cast("string") != F.col("query_id").cast("string"))
+    return top(met.groupBy("query_id", "doc_id").agg(F.max("score").alias("score")), n)
 
 
 def diversify(lam: float, pick: int):

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import evaluate, graph, search, store
-from ..session import cut, small, table
+from ..session import cut, small, spread, table
 from .common import ENTRIES, NOW, terms
 from .store_queries import COST, DECAY, EDGES
 
 WITH = f"WITH {ENTRIES}"
+#: Least cosine of the vector channel, and characters of a chunk; fixed values.
+VECTOR_FLOOR, CHUNK = 0.35, 512
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -73,18 +75,49 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     return search.top(fused, 10).select("query_id", "doc_id", "score", F.array_join("channels", "+").alias("channels"), "rank")
 
 
-def _fused(spark: SparkSession, d: str) -> DataFrame:
-    """Four channels fused, the thirty best per query: words, entities, tags and merge edges."""
+def _channels(spark: SparkSession, d: str) -> list[tuple[str, DataFrame, float]]:
+    """Words, entities, tags and merge edges: each channel's ranking and weight."""
     window, seeds = _window(spark, d)
     docs = _docs(spark, d).select("doc_id")
     asked = search.query_terms(_asked(spark, d))
-    lists = [("bm25", window, 8.0), ("entity", _entity_channel(spark, d, seeds), 1.0),
-             ("graph", search.graph_channel(seeds, graph.merge_edges(table(spark, d, "memories")), docs), 1.0),
-             ("tag", search.tag_channel(asked, table(spark, d, "tags"), docs), 1.0)]
-    fused = search.fuse(lists).withColumn("score", F.round("score", 8))
+    return [("bm25", window, 8.0), ("entity", _entity_channel(spark, d, seeds), 1.0),
+            ("graph", search.graph_channel(seeds, graph.merge_edges(table(spark, d, "memories")), docs), 1.0),
+            ("tag", search.tag_channel(asked, table(spark, d, "tags"), docs), 1.0)]
+
+
+def _fused(spark: SparkSession, d: str) -> DataFrame:
+    """Four channels fused, the thirty best per query."""
+    fused = search.fuse(_channels(spark, d)).withColumn("score", F.round("score", 8))
     return search.top(fused, 30).withColumn("channels", F.array_join("channels", "+")).select("query_id", "doc_id", "score", "channels", "rank")
 
 
+def _vector_channel(spark: SparkSession, d: str) -> DataFrame:
+    """The thirty entries per query whose hashed terms are nearest, from a cosine of 0.35 on; no coverage gate."""
+    docs = _docs(spark, d).select("doc_id", text.hashed_vector(F.col("text")).alias("v"))
+    asked = _asked(spark, d).select("query_id", text.hashed_vector(F.col("text")).alias("v"))
+    return search.nearest(spread(docs, "doc_id"), asked, 30, VECTOR_FLOOR)
+
+
+def vector_channel(spark: SparkSession, d: str) -> DataFrame:
+    return _vector_channel(spark, d).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
+def hybrid_channels(spark: SparkSession, d: str) -> DataFrame:
+    """Five channels fused, the ten best per query: words, entities, tags, merge edges and vectors."""
+    fused = search.fuse([*_channels(spark, d), ("vector", _vector_channel(spark, d), 1.0)]).withColumn("score", F.round("score", 8))
+    return search.top(fused, 10).select("query_id", "doc_id", "score", F.array_join("channels", "+").alias("channels"), "rank")
+
+
+def chunk_nearest(spark: SparkSession, d: str) -> DataFrame:
+    """The five documents per query whose best chunk of 512 characters is nearest by hashed terms."""
+    docs = table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    starts = F.sequence(F.lit(1), F.greatest(F.length("text"), F.lit(1)), F.lit(CHUNK))
+    chunks = spread(docs, "doc_id").select("doc_id", F.explode(F.transform(starts, lambda i: F.substring(F.col("text"), i, F.lit(CHUNK)))).alias("chunk"))
+    asked = _asked(spark, d).select("query_id", text.hashed_vector(F.col("text")).alias("v"))
+    near = search.nearest(chunks.select("doc_id", text.hashed_vector(F.col("chunk")).alias("v")), asked, 5)
+    return near.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+
+
 def fused_channels(spark: SparkSession, d: str) -> DataFrame:
     return _fused(spark, d)
 
@@ -222,6 +255,24 @@ _FUSED = f""", ent AS (SELECT doc_id, unnest({_IDS}) AS entity FROM docs),
       UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'entity' FROM ech UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'tag' FROM tch
       UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'graph' FROM gch) GROUP BY 1, 2) QUALIFY rank <= 30)
 """
+
+
+def _hashed(name: str, source: str, key: str, body: str) -> str:
+    """Unit vectors by hashed terms as rows (key, slot, x)."""
+    words = f"regexp_extract_all(regexp_replace(lower({body}), '[\\x{{4E00}}-\\x{{9FFF}}]+', ' ', 'g'), '[\\p{{L}}\\p{{N}}_]+')"
+    pairs = (f"flatten(list_transform(regexp_extract_all({body}, '[\\x{{4E00}}-\\x{{9FFF}}]+'), lambda r: "
+             "list_transform(range(1, greatest(CAST(length(r) AS BIGINT), 2)), lambda i: substring(r, i, 2))))")
+    return f"""{name}_t AS (SELECT {key}, term, sum(w) AS w FROM (SELECT {key}, unnest({words}) AS term, 1.0::DOUBLE AS w FROM {source}
+        UNION ALL SELECT {key}, unnest({pairs}), 0.5 FROM {source}) GROUP BY 1, 2),
+      {name}_h AS (SELECT term, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(term) + 1), lambda i: unicode(substring(term, i, 1))::BIGINT)),
+        lambda h, c: (xor(h, c) * 16777619) % 4294967296) % 256 AS slot FROM (SELECT DISTINCT term FROM {name}_t)),
+      {name}_s AS (SELECT {key}, slot, sum(w) AS w FROM {name}_t JOIN {name}_h USING (term) GROUP BY 1, 2),
+      {name} AS (SELECT {key}, slot, w / sqrt(sum(w * w) OVER (PARTITION BY {key})) AS x FROM {name}_s)"""
+
+
+_VECTORS = ", " + _hashed("dv", "docs", "doc_id", "text") + ", " + _hashed("qv", "eval_cases", "case_id", "query") + """,
+  vch AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+    SELECT case_id AS query_id, doc_id, round(sum(dv.x * qv.x), 12) AS score FROM dv JOIN qv USING (slot) GROUP BY 1, 2) WHERE score >= 0.35 QUALIFY rank <= 30)"""
 _GOLD = "gold AS (SELECT DISTINCT case_id AS query_id, unnest(expect) AS doc_id FROM eval_cases)"
 _ASK = "(SELECT query_id, count(*) AS n_terms FROM asked GROUP BY 1)"
 
@@ -241,6 +292,18 @@ SQL = {
         UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'entity' FROM ech) GROUP BY 1, 2)
       SELECT query_id, doc_id, score, channels, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 10""",
     "fused_channels": WITH + _LEX + _FUSED + "SELECT query_id, doc_id, score, channels, CAST(rank AS INTEGER) AS rank FROM fused",
+    "vector_channel": WITH + _LEX + _VECTORS + "SELECT query_id, doc_id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM vch",
+    "hybrid_channels": WITH + _LEX + _FUSED + _VECTORS + """, five AS (SELECT query_id, doc_id, round(sum(s), 8) AS score, string_agg(ch, '+' ORDER BY ch) AS channels FROM (
+        SELECT query_id, doc_id, 8.0::DOUBLE / (20 + rank) AS s, 'bm25' AS ch FROM ranked WHERE rank <= 30
+        UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'entity' FROM ech UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'tag' FROM tch
+        UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'graph' FROM gch UNION ALL SELECT query_id, doc_id, 1.0::DOUBLE / (20 + rank), 'vector' FROM vch) GROUP BY 1, 2)
+      SELECT query_id, doc_id, score, channels, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM five QUALIFY rank <= 10""",
+    "chunk_nearest": """WITH ck AS (SELECT doc_id, i, doc_id || ':' || i AS part, substring(text, i, 512) AS chunk
+        FROM (SELECT doc_id, text, unnest(range(1, greatest(length(text), 1) + 1, 512)) AS i FROM documents WHERE text IS NOT NULL)), """
+        + _hashed("dv", "ck", "part", "chunk") + ", " + _hashed("qv", "eval_cases", "case_id", "query") + """,
+      sc AS (SELECT case_id AS query_id, part, round(sum(dv.x * qv.x), 12) AS score FROM dv JOIN qv USING (slot) GROUP BY 1, 2),
+      best AS (SELECT query_id, doc_id, max(score) AS score FROM sc JOIN ck USING (part) GROUP BY 1, 2)
+      SELECT query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM best QUALIFY rank <= 5""",
     "channel_coverage": WITH + _LEX + _FUSED + "SELECT channels, count(DISTINCT doc_id) AS entries, count(*) AS hits FROM fused GROUP BY 1",
     "ranked_hits": WITH + _LEX + _FUSED + f""", e AS (SELECT id AS doc_id, kind, coalesce(project, '') AS project, valid_at, list_distinct({terms('content')}) AS t, ({DECAY})
         * CASE kind WHEN 'context' THEN 0.45 WHEN 'event' THEN 0.3 ELSE 1 END * (0.6 + 0.4 * coalesce(importance, 5) / 10)
@@ -290,5 +353,5 @@ SQL = {
       SELECT source, doc_id, score FROM s WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY source ORDER BY score DESC, doc_id) <= 5""",
 }
 QUERIES = {f.__name__: f for f in (
-    bm25_topk, bm25_filtered_after_window, coverage_gate, rrf_fusion, fused_channels, channel_coverage, ranked_hits, paired_significance, mmr_rerank, answer_within_budget, abstain_flags, retrieval_measures,
+    bm25_topk, bm25_filtered_after_window, coverage_gate, rrf_fusion, vector_channel, hybrid_channels, chunk_nearest, fused_channels, channel_coverage, ranked_hits, paired_significance, mmr_rerank, answer_within_budget, abstain_flags, retrieval_measures,
     recall_bootstrap, vector_topk, vector_class_precision, page_match)}
