@@ -10,6 +10,13 @@ from ..session import cut, small
 
 #: Share of a new entry's tokens that an earlier one must hold for a duplicate; likeness for a link; tokens below which nothing is a duplicate.
 MERGE, LINK, EVIDENCE = 0.75, 0.3, 5
+#: Share of an earlier text's words without numbers that makes two texts be about one thing, and of a new text for it to be decisive.
+FRAME = 0.5
+#: What signals an update, what denies, and what is a number; fixed values.
+UPDATES = ("(改为|改成|更新为|修正为|纠正为|替换为|不再|别再|废弃|弃用|作废|取而代之|迁移到|切换到"
+           "|renamed to|changed to|no longer|deprecated|migrated to|replaced by)")
+NEGATIONS = r"(不|别|无需|不再|避免|禁止|拒绝|never|avoid|not\b|without)"
+NUMBER = r"\d+(?:\.\d+)?%?"
 
 
 def candidates(asked: DataFrame, others: DataFrame, share: float) -> DataFrame:
@@ -34,39 +41,83 @@ def candidates(asked: DataFrame, others: DataFrame, share: float) -> DataFrame:
     return held.join(small(cut(rare)), "token").select("id", "other").where(F.col("id") != F.col("other")).distinct()
 
 
-def decisions(entries: DataFrame, asked: DataFrame) -> DataFrame:
-    """(id, decision, other, coverage): per asked entry (id) what it is beside all earlier active ones.
+def compared(entries: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(asked rows, pairs): each asked entry (id) beside the earlier active ones that hold three tenths of its tokens.
 
-    ``duplicate``: an earlier entry covers three quarters of its tokens, which
-    are at least five, and what it adds names nothing in Latin letters or digits;
-    ``link``: an earlier one is alike by three tenths; else ``add``. Equal
-    fingerprints count as full cover. Earlier is by (asserted_at, id); ties go
-    to the smaller id. An entry without tokens is added.
+    Pairs are (id, other, n, coverage, likeness, adds_name, same_kind, later,
+    signals, conflicts). Earlier is by (asserted_at, id). Equal fingerprints
+    count as full cover. Entries have one row per id.
     """
-    rows = entries.where(F.col("content").isNotNull() & F.col("asserted_at").isNotNull()).select(
-        "id", "status", "asserted_at", text.token_set(F.col("content")).alias("t"), text.fingerprint(F.col("content")).alias("f"))
+    content = F.col("content")
+    rows = entries.where(content.isNotNull() & F.col("asserted_at").isNotNull()).select(
+        "id", "status", "asserted_at", "kind", "valid_at", text.token_set(content).alias("t"), text.fingerprint(content).alias("f"),
+        F.array_sort(F.array_distinct(F.regexp_extract_all(content, F.lit(f"({NUMBER})"), F.lit(1)))).alias("numbers"),
+        content.rlike(f"(?i){NEGATIONS}").alias("denies"), content.rlike(f"(?i){UPDATES}").alias("signals"))
+    facts = ["asserted_at", "kind", "valid_at", "t", "f", "numbers", "denies"]
     mine = cut(rows.join(small(asked), "id", "left_semi"))
     others = rows.where(F.col("status") == "active")
     pairs = cut(candidates(mine.where(F.size("t") > 0), others.where(F.size("t") > 0), LINK))
-    a = mine.select("id", "asserted_at", "t", "f")
-    b = others.select(F.col("id").alias("other"), F.col("asserted_at").alias("at_b"), F.col("t").alias("u"), F.col("f").alias("g"))
+    a = mine.select("id", "signals", F.struct(*facts).alias("a"))
+    b = others.select(F.col("id").alias("other"), F.struct(*facts).alias("b"))
     met = b.join(small(pairs), "other").join(small(a), "id").where(
-        (F.col("at_b") < F.col("asserted_at")) | ((F.col("at_b") == F.col("asserted_at")) & (F.col("other") < F.col("id"))))
-    same = F.col("f") == F.col("g")
-    scored = met.select(
-        "id", "other", F.size("t").alias("n"), F.when(same, 1.0).otherwise(F.round(F.size(F.array_intersect("t", "u")) / F.size("t"), 6)).alias("coverage"),
-        F.when(same, 1.0).otherwise(F.round(text.jaccard(F.col("t"), F.col("u")), 6)).alias("likeness"),
-        (~same & F.exists(F.array_except("t", "u"), lambda x: x.rlike("[0-9a-zA-Z]"))).alias("adds_name"))
-    best = scored.groupBy("id").agg(
+        (F.col("b.asserted_at") < F.col("a.asserted_at")) | ((F.col("b.asserted_at") == F.col("a.asserted_at")) & (F.col("other") < F.col("id"))))
+    t, u, same = F.col("a.t"), F.col("b.t"), F.col("a.f") == F.col("b.f")
+    frame = F.filter(u, lambda x: ~x.rlike("^[0-9.]+%?$"))
+    shared = F.try_divide(F.size(F.array_intersect(frame, t)), F.size(frame))
+    conflicts = F.when(F.col("a.numbers") != F.col("b.numbers"), F.coalesce(shared >= FRAME, F.lit(False))).otherwise(F.col("a.denies") != F.col("b.denies"))
+    return mine, met.select(
+        "id", "other", F.size(t).alias("n"), F.when(same, 1.0).otherwise(F.round(F.size(F.array_intersect(t, u)) / F.size(t), 6)).alias("coverage"),
+        F.when(same, 1.0).otherwise(F.round(text.jaccard(t, u), 6)).alias("likeness"),
+        (~same & F.exists(F.array_except(t, u), lambda x: x.rlike("[0-9a-zA-Z]"))).alias("adds_name"),
+        F.col("a.kind").eqNullSafe(F.col("b.kind")).alias("same_kind"), F.coalesce(F.col("a.valid_at") >= F.col("b.valid_at"), F.lit(False)).alias("later"),
+        "signals", conflicts.alias("conflicts"))
+
+
+def decided(pairs: DataFrame) -> DataFrame:
+    """(id, decision, other, coverage) of ``compared`` pairs; a null decision where no pair is enough."""
+    best = pairs.groupBy("id").agg(
         F.min_by(F.struct("other", "coverage", "adds_name", "n"), F.struct(-F.col("coverage"), F.col("other"))).alias("c"),
         F.min_by(F.struct("other", "likeness", "coverage"), F.struct(-F.col("likeness"), F.col("other"))).alias("l"))
     covered = (F.col("c.coverage") >= MERGE) & (F.col("c.n") >= EVIDENCE) & ~F.col("c.adds_name")
     linked = F.col("l.likeness") >= LINK
-    decided = best.select(
+    return best.select(
         "id", F.when(covered, "duplicate").when(linked, "link").alias("decision"),
         F.when(covered, F.col("c.other")).when(linked, F.col("l.other")).alias("other"),
         F.when(covered, F.col("c.coverage")).when(linked, F.col("l.coverage")).alias("coverage"))
-    return mine.select("id").join(decided, "id", "left").select("id", F.coalesce("decision", F.lit("add")).alias("decision"), "other", "coverage")
+
+
+def decisions(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, decision, other, coverage): per asked entry (id) what it is beside all earlier active ones.
+
+    ``duplicate``: an earlier entry covers three quarters of its tokens, which
+    are at least five, and what it adds names nothing in Latin letters or digits;
+    ``link``: an earlier one is alike by three tenths; else ``add``. Ties go to
+    the smaller id. An entry without tokens is added.
+    """
+    mine, pairs = compared(entries, asked)
+    return mine.select("id").join(decided(pairs), "id", "left").select("id", F.coalesce("decision", F.lit("add")).alias("decision"), "other", "coverage")
+
+
+def evolutions(entries: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, action, other): per asked entry what it does to the earlier active ones.
+
+    A rule is only added. Else the earlier entry that covers most of it, by half
+    of at least five tokens, decides: ``supersede`` if the new text signals an
+    update, is of the same kind and no earlier in validity; ``contradict`` if
+    they are about one thing and differ in numbers or in denial. Otherwise it is
+    a ``duplicate``, ``link`` or ``add`` as ``decisions`` has it among entries of
+    its kind. Ties go to the smaller id.
+    """
+    mine, pairs = compared(entries, asked)
+    pairs = cut(pairs)
+    best = pairs.groupBy("id").agg(F.min_by(F.struct("other", "coverage", "n", "same_kind", "later", "signals", "conflicts"), F.struct(-F.col("coverage"), F.col("other"))).alias("m"))
+    enough = (F.col("m.coverage") >= FRAME) & (F.col("m.n") >= EVIDENCE)
+    action = F.when(enough & F.col("m.signals") & F.col("m.same_kind") & F.col("m.later"), "supersede").when(enough & F.col("m.conflicts"), "contradict")
+    strong = best.select("id", action.alias("action"), F.col("m.other").alias("target"))
+    rule = F.coalesce(F.col("kind") == "rule", F.lit(False))
+    out = mine.select("id", "kind").join(strong, "id", "left").join(decided(pairs.where("same_kind")), "id", "left")
+    return out.select("id", F.when(rule, "add").otherwise(F.coalesce("action", "decision", F.lit("add"))).alias("action"),
+                      F.when(~rule, F.when(F.col("action").isNotNull(), F.col("target")).otherwise(F.col("other"))).alias("other"))
 
 
 def evidence(entries: DataFrame, origins: DataFrame) -> DataFrame:

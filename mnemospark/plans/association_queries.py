@@ -27,6 +27,12 @@ def association_decisions(spark: SparkSession, d: str) -> DataFrame:
     return associate.decisions(rows, rows.where(similar.hundredth("id")).select("id").distinct())
 
 
+def evolution_actions(spark: SparkSession, d: str) -> DataFrame:
+    """What each entry whose id is divisible by 100 does to the earlier active ones: supersede, contradict, duplicate, link or add."""
+    rows = _entries(spark, d)
+    return associate.evolutions(rows, rows.where(similar.hundredth("id")).select("id").distinct())
+
+
 def evidence_chain(spark: SparkSession, d: str) -> DataFrame:
     """Per merged entry what it was made from: entries found, entries missing, the time they span."""
     memories = table(spark, d, "memories")
@@ -107,6 +113,28 @@ SQL = {
           c.other AS co, c.coverage AS cc, l.other AS lo, l.coverage AS lc FROM c JOIN l USING (id))
       SELECT a.id, coalesce(decision, 'add') AS decision, CASE decision WHEN 'duplicate' THEN co WHEN 'link' THEN lo END AS other,
         CASE decision WHEN 'duplicate' THEN cc WHEN 'link' THEN lc END AS coverage FROM a LEFT JOIN d USING (id)""",
+    "evolution_actions": WITH + f""", r AS (SELECT id, status, asserted_at, kind, valid_at, list_distinct({terms('content')}) AS t, regexp_replace(lower(content), '[\\s\\p{{P}}\\p{{S}}]+', '', 'g') AS f,
+        list_sort(list_distinct(regexp_extract_all(content, '{associate.NUMBER}'))) AS nums, regexp_matches(content, '{associate.NEGATIONS}', 'i') AS denies,
+        regexp_matches(content, '{associate.UPDATES}', 'i') AS signals FROM entries WHERE content IS NOT NULL AND asserted_at IS NOT NULL),
+      a AS (SELECT * FROM r WHERE {_HUNDREDTH}),
+      m AS (SELECT a.id, b.id AS other, len(a.t) AS n, a.f = b.f AS same, a.t AS t, b.t AS u, len(list_intersect(a.t, b.t)) AS n_both, a.kind IS NOT DISTINCT FROM b.kind AS same_kind,
+          coalesce(a.valid_at >= b.valid_at, false) AS later, a.signals AS signals, a.nums <> b.nums AS differ, a.denies <> b.denies AS turned,
+          list_filter(b.t, lambda x: NOT regexp_full_match(x, '[0-9.]+%?')) AS frame
+        FROM a JOIN r b ON b.status = 'active' AND a.id <> b.id AND len(a.t) > 0 AND (b.asserted_at < a.asserted_at OR (b.asserted_at = a.asserted_at AND b.id < a.id))
+        WHERE len(list_intersect(a.t, b.t)) >= ceil(0.3 * len(a.t))),
+      s AS (SELECT id, other, n, CASE WHEN same THEN 1.0::DOUBLE ELSE round(n_both::DOUBLE / n, 6) END AS coverage,
+          CASE WHEN same THEN 1.0::DOUBLE ELSE round(n_both::DOUBLE / (n + len(u) - n_both), 6) END AS likeness, same_kind, later, signals,
+          NOT same AND len(list_filter(t, lambda x: NOT list_contains(u, x) AND regexp_matches(x, '[0-9a-zA-Z]'))) > 0 AS adds,
+          CASE WHEN differ THEN len(frame) > 0 AND len(list_intersect(frame, t)) >= 0.5 * len(frame) ELSE turned END AS conflicts FROM m),
+      x AS (SELECT id, other, CASE WHEN coverage >= 0.5 AND n >= 5 AND signals AND same_kind AND later THEN 'supersede' WHEN coverage >= 0.5 AND n >= 5 AND conflicts THEN 'contradict' END AS action
+        FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY coverage DESC, other) = 1),
+      k AS (SELECT * FROM s WHERE same_kind),
+      c AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY coverage DESC, other) = 1),
+      l AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY id ORDER BY likeness DESC, other) = 1),
+      d AS (SELECT c.id, CASE WHEN c.coverage >= 0.75 AND c.n >= 5 AND NOT c.adds THEN 'duplicate' WHEN l.likeness >= 0.3 THEN 'link' END AS decision, c.other AS co, l.other AS lo FROM c JOIN l USING (id))
+      SELECT a.id, CASE WHEN a.kind = 'rule' THEN 'add' ELSE coalesce(x.action, decision, 'add') END AS action,
+        CASE WHEN a.kind = 'rule' THEN NULL WHEN x.action IS NOT NULL THEN x.other WHEN decision = 'duplicate' THEN co WHEN decision = 'link' THEN lo END AS other
+      FROM a LEFT JOIN x USING (id) LEFT JOIN d USING (id)""",
     "evidence_chain": WITH + f""", {EDGES}, e AS (SELECT id, min(valid_at) AS valid_at FROM entries GROUP BY 1)
       SELECT from_id AS id, count(e.id) AS n_found, count(*) - count(e.id) AS n_missing, min(valid_at) AS first_at, max(valid_at) AS last_at
       FROM edges LEFT JOIN e ON e.id = to_id GROUP BY 1""",
@@ -133,4 +161,4 @@ SQL = {
     "entries_by_id": WITH + f", {EDGES} SELECT id, kind, status FROM entries WHERE id IN (SELECT to_id FROM edges)",
 }
 QUERIES = {f.__name__: f for f in (
-    association_decisions, evidence_chain, in_edges, theme_clusters, bulk_removal, field_changes, orphan_tags, extraction_scores, entries_by_id)}
+    association_decisions, evolution_actions, evidence_chain, in_edges, theme_clusters, bulk_removal, field_changes, orphan_tags, extraction_scores, entries_by_id)}

@@ -31,13 +31,28 @@ def test_decisions(spark):
     base = "the cache of session alpha keeps entries for nine days"
     data = [("01", base, 0), ("02", "The cache of session alpha keeps entries for nine days!", 1), ("03", base + " since v2", 2), ("04", "cache of session alpha keeps entries", 3),
             ("05", "nothing alike here", 4), ("06", None, 5), ("07", "...", 6), ("08", "cache of", 7)]
-    df = spark.createDataFrame([(i, c, "active", T + dt.timedelta(days=d), 1) for i, c, d in data], "id string, content string, status string, asserted_at timestamp, other int")
+    df = spark.createDataFrame([(i, c, "active", T + dt.timedelta(days=d), "fact", T, 1) for i, c, d in data],
+                               "id string, content string, status string, asserted_at timestamp, kind string, valid_at timestamp, other int")
     got = {r.id: (r.decision, r.other) for r in associate.decisions(df, df.select("id")).collect()}
     assert got == {"01": ("add", None), "02": ("duplicate", "01"), "03": ("link", "01"), "04": ("duplicate", "01"), "05": ("add", None),
                    "07": ("add", None), "08": ("link", "04")}
     assert associate.decisions(df.limit(0), df.select("id")).count() == 0
 
 
+def test_evolutions(spark):
+    base = "the cache of session alpha keeps 9 entries"
+    data = [("01", base, "fact", 0, "active"), ("02", "the cache of session alpha keeps 7 entries", "fact", 1, "merged"), ("03", "the cache of session beta never keeps entries", "lesson", 2, "merged"),
+            ("04", "cache of session alpha changed to 7 entries", "fact", 3, "merged"), ("05", "cache of session alpha changed to 7 entries", "rule", 4, "merged"),
+            ("06", "cache of session alpha changed to 7 entries", "fact", -1, "merged"), ("07", "cache of session alpha keeps 9 entries", "fact", 5, "merged"),
+            ("08", "cache of session alpha keeps 9 entries", "lesson", 6, "merged"), ("09", None, "fact", 7, "merged"), ("10", "", None, 8, None), ("11", "cache keeps 9", "fact", 9, "merged")]
+    df = spark.createDataFrame([(i, c, k, T + dt.timedelta(days=d), T + dt.timedelta(days=d), s, 1) for i, c, k, d, s in data],
+                               "id string, content string, kind string, asserted_at timestamp, valid_at timestamp, status string, other int")
+    got = {r.id: (r.action, r.other) for r in associate.evolutions(df, df.select("id")).collect()}
+    assert got == {"01": ("add", None), "02": ("contradict", "01"), "03": ("contradict", "01"), "04": ("supersede", "01"), "05": ("add", None), "06": ("add", None),
+                   "07": ("duplicate", "01"), "08": ("add", None), "10": ("add", None), "11": ("link", "01")}
+    assert associate.evolutions(df.limit(0), df.select("id")).count() == 0
+
+
 def test_evidence_themes_and_removal(spark):
     e = spark.createDataFrame([("a", T, "cache full"), ("b", T, "other"), ("c", T, "else")], "id string, valid_at timestamp, content string")
     o = spark.createDataFrame([("x", "a"), ("x", "gone"), ("x", "a")], "id string, origin string")
