@@ -6,7 +6,7 @@ import random
 import pyarrow as pa
 import pytest
 
-from mnemospark.operators import associate, blocks
+from mnemospark.operators import associate, blocks, similar
 
 T = dt.datetime(2026, 1, 1)
 ENTRY = "id string, status string, asserted_at timestamp, kind string, valid_at timestamp, content string"
@@ -93,3 +93,26 @@ def test_counts_of_dense_and_rare_tokens(monkeypatch, dense, cells):
         assert got.tolist() == [[len(mine[a] & mine[b]) for b in others.column["id"][some]] for a in block.column["id"][5:]]
         seen += len(some)
     assert seen == len(rows)
+
+
+def test_the_first_later_one_of_many_alike(spark):
+    rows = [(f"m{k:03}", "active", k // 6, "fact", f"the cache key of page {k} stays") for k in range(120)]
+    df = entries(spark, rows).selectExpr("*", "if(id like '%0', null, 'p') as project")
+    asked = df.select("id").where("id in ('m010', 'm025', 'm117')")
+    assert sorted((r.id, r.newer, r.overlap, r.days) for r in similar.first_later(df, asked).collect()) == [
+        ("m010", "m020", round(6 / 7, 6), round(2 / 24, 4)), ("m025", "m031", round(6 / 7, 6), round(1 / 24, 4))]
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_first_later_against_all_pairs_in_few_small_jobs(spark, seed):
+    rows, want = drawn(seed), []
+    df = entries(spark, rows).selectExpr("*", "kind as project")
+    for i, _, h, p, c in rows:
+        t = set(c.split())
+        later = [(g, j, round(len(t & u) / min(len(t), len(u)), 6)) for j, _, g, q, d in rows
+                 if (q or "") == (p or "") and g > h and t and (u := set(d.split()))]
+        want += [(i, j, o, round((g - h) / 24, 4)) for g, j, o in sorted(m for m in later if m[2] >= 0.3)[:1]]
+    before = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    got = similar.first_later(df, df.select("id"))
+    assert spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs() - before <= 12
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
