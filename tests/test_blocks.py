@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -79,18 +80,19 @@ def test_alike_entries_of_all_kinds_make_few_pairs_and_the_same_actions(spark):
     assert got == [("m029", "duplicate", "m005"), ("m031", "supersede", "m001"), ("m119", "duplicate", "m095")]
 
 
-@pytest.mark.parametrize("dense,cells", [(256, 1 << 21), (2, 40), (1, 1)])
-def test_counts_of_dense_and_rare_tokens(monkeypatch, dense, cells):
+@pytest.mark.parametrize("dense,cells,step", [(256, 1 << 21, 1), (2, 40, 3), (1, 1, 1)])
+def test_counts_of_dense_and_rare_tokens(monkeypatch, dense, cells, step):
     monkeypatch.setattr(blocks, "DENSE", dense)
     monkeypatch.setattr(blocks, "CELLS", cells)
     rows = [(i, h, sorted(set(c.split()))) for i, _, h, _, c in drawn(3) if c]
     columns = {"id": pa.array([r[0] for r in rows]), "at": pa.array([r[1] for r in rows]), "t": pa.array([r[2] for r in rows])}
     block, batch = blocks.Block(pa.table(columns).slice(0, 40), None), pa.record_batch({**columns, "t": pa.array([[*r[2], "new"] for r in rows])})
     others, mine = blocks.Others(batch, block), {r[0]: set(r[2]) for r in rows}
-    seen = 0
-    for some in others.pieces(blocks.np.arange(len(rows)), block.n):
-        got = block.shared(5, block.n, others, some)
-        assert got.tolist() == [[len(mine[a] & mine[b]) for b in others.column["id"][some]] for a in block.column["id"][5:]]
+    seen, asked = 0, np.arange(5, block.n, step)
+    for some in others.pieces(np.arange(len(rows)), block.n):
+        got = block.shared(asked, others, some)
+        assert got.tolist() == [[len(mine[a] & mine[b]) for b in others.column["id"][some]] for a in np.array(block.column["id"])[asked]]
+        assert (block.at_most(others, some)[asked] >= got.max(axis=1)).all()
         seen += len(some)
     assert seen == len(rows)
 
